@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratadoc.llm.knn_perm import most_similar, neighbour_pairs
 from stratadoc.llm.leak_search import leaks
+from stratadoc.llm.neardup import NearDuplicates
 from stratadoc.llm.packing import pack
 from stratadoc.llm.segment import split_oversized
 from stratadoc.session import table
 
 
+def p1_found(spark, sf_dir):
+    return NearDuplicates(table(spark, sf_dir, "chunks")).pairs().select("id_a", "id_b")
+
+
+def p1_groups(spark, sf_dir):
+    return NearDuplicates(table(spark, sf_dir, "chunks")).groups()
+
+
+def p2_nearest(spark, sf_dir):
+    return most_similar(table(spark, sf_dir, "chunks"))
+
+
+def p2_found(spark, sf_dir):
+    return neighbour_pairs(p2_nearest(spark, sf_dir))
+
+
 def p3_split(spark, sf_dir):
     return split_oversized(table(spark, sf_dir, "blocks"))
 
@@ -26,9 +44,19 @@ def p7_found(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_split, p6_pack, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_nearest, p3_found, p3_split, p6_pack, p7_found)}
 
 ORACLES = {
+    "p1_found": r"""
+        WITH t AS (SELECT id, min(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id),
+        w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
+        s AS (SELECT DISTINCT id, array_to_string(w[k : k + 2], ' ') AS s
+              FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 3)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c
+              FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+        SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)
+    """,
     "p3_found": r"""
         SELECT block_id FROM blocks
         WHERE lower(regexp_replace(kind, '^\s+|\s+$', '', 'g')) = 'body'
