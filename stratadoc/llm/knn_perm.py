@@ -1,13 +1,14 @@
-"""Most similar vectors of every vector by a permutation index.
+"""Most similar vectors of every vector by a permutation index of two levels.
 
 Every vector is represented by its nearest pivots in order and posted in the inverted files of those
 pivots. A query's candidates are the vectors it meets in the inverted files of its own pivots; the
 closest ones by footrule distance between the two orders are ranked again by their cosine.
 
-Pivots are a sample of the vectors, so dense regions hold more of them, and the inverted files stay of
-one size. Neighbouring pivots form groups; a vector lives in the group of its nearest pivot, and is
-shipped, as a query, to the other groups of its pivots. Each group is one task with its own part of all
-inverted files.
+The pivots of the upper level, a sample of all vectors, only decide where to look: neighbouring pivots
+form groups, a vector lives in the group of its nearest pivot and is shipped as a query to the next
+groups in its order. Each group then has pivots and inverted files of its own, one pivot for every few
+of its vectors, so the index is as fine in a large collection as in a small one. Pivots are sampled, so
+dense regions hold more of them, and groups and inverted files stay of one size.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from stratadoc.llm.wordscan import MIX_A, U64, mix
 from stratadoc.session import cut
 
 NEAREST = 5
-#: Pivots are PIVOTS_ROOT times the square root of the rows, at most MOST_PIVOTS (a broadcast of 32 MB at 1,024 dimensions).
+#: Upper pivots are PIVOTS_ROOT times the square root of the rows, at most MOST_PIVOTS (a broadcast of 32 MB at 1,024 dimensions).
 PIVOTS_ROOT, MOST_PIVOTS = 6, 8192
-ORDER = 10
-GROUP_ROWS = 3000
-RERANKED = 64
-SPARE = 3
+#: How many of its nearest upper pivots a vector follows, to how many groups at most.
+FOLLOWED, VISITS = 8, 3
+GROUP_ROWS = 4000
+#: A group has a pivot for every PER_PIVOT vectors, at most GROUP_PIVOTS.
+PER_PIVOT, GROUP_PIVOTS = 4, 1024
+ORDER = 12
+RERANKED = 48
+SPARE = 2
 
 
 def _dense(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +146,7 @@ def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.nd
         footrule[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
         best = np.argpartition(footrule, min(reranked, len(x)) - 1, axis=1)[:, :reranked]
         usable = np.isfinite(np.take_along_axis(footrule, best, 1))
-        near = np.einsum("qd,qcd->qc", q[lo : lo + step], x[best])
+        near = np.matmul(x[best], q[lo : lo + step, :, None])[..., 0]
         near[~usable] = -np.inf
         top = np.argsort(-near, axis=1, kind="stable")[:, :k]
         found = np.isfinite(np.take_along_axis(near, top, 1))
@@ -175,7 +180,7 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
     if not len(pivots):
         pivots = np.eye(1, dim, dtype=np.float32)
     pivots = pivots[: 2 * MOST_PIVOTS]
-    order = min(order, len(pivots))
+    followed = min(FOLLOWED, len(pivots))
     groups = max(1, min(len(pivots), rows // group_rows))
     sent = spark.sparkContext.broadcast((pivots, pivot_groups(pivots, groups)))
 
@@ -198,16 +203,15 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
             for lo in range(0, len(fresh), 512):
                 at = fresh[lo : lo + 512]
                 x = _unit(every[at])
-                near = orders(x, pivots, order)
-                visits = group_of[near]
-                packed, number, perm = _pack(every[at]), classes[at], [p.tobytes() for p in near]
-                row, col = np.nonzero([[g not in v[:j] for j, g in enumerate(v)] for v in visits.tolist()])
+                packed, number = _pack(every[at]), classes[at]
+                visits = [list(dict.fromkeys(v))[:VISITS] for v in group_of[orders(x, pivots, followed)].tolist()]
+                row = np.repeat(np.arange(len(at)), [len(v) for v in visits])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(visits[row, col]), pa.array(col == 0), pa.array(number[row]),
-                        pa.array([packed[i] for i in row], pa.binary()), pa.array([perm[i] for i in row], pa.binary()),
+                        pa.array([g for v in visits for g in v], pa.int32()), pa.array([j == 0 for v in visits for j in range(len(v))]),
+                        pa.array(number[row]), pa.array([packed[i] for i in row], pa.binary()),
                     ],
-                    names=["group", "home", "class", "packed", "perm"],
+                    names=["group", "home", "class", "packed"],
                 )
 
     def search(table: pa.Table) -> pa.Table:
@@ -216,18 +220,19 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
         _, first = np.unique(number, return_index=True)  # copies from several partitions
         number, home = number[first], home[first]
         table = table.take(pa.array(first))
-        perm = np.stack([np.frombuffer(p.as_py(), dtype=np.int16) for p in table.column("perm")])
         every = _unit(_unpack(p.as_py() for p in table.column("packed")))
         live = np.flatnonzero(home)
         if not len(live):
             return pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         place = np.full(len(number), -1)
         place[live] = np.arange(len(live))
-        a, b, near = neighbours(every, every[live], perm, perm[live], place, k + SPARE, reranked)
+        local = every[live[: min(GROUP_PIVOTS, -(-len(live) // PER_PIVOT))]]  # in order of class number, so at random
+        near = orders(every, local, min(order, len(local)))
+        a, b, near = neighbours(every, every[live], near, near[live], place, k + SPARE, reranked)
         return pa.table({"query": pa.array(number[a]), "class": pa.array(number[live][b]), "cosine": pa.array(near)})
 
     members = cut(df.mapInArrow(number, f"id {kind}, class bigint").distinct())
-    shipped = df.select("vector").mapInArrow(ship, "group int, home boolean, class bigint, packed binary, perm binary")
+    shipped = df.select("vector").mapInArrow(ship, "group int, home boolean, class bigint, packed binary")
     near = shipped.groupBy("group").applyInArrow(search, "query bigint, class bigint, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "class")
     near = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + SPARE).drop("n")

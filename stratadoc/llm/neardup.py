@@ -27,6 +27,9 @@ BANDS, ROWS = 40, 3
 CELL_BITS, BLOCK = 20, 1 << 14
 PARAM_BITS = 16
 SLICE = 1 << 21
+SKETCH = ("s1", "s2", "s3", "s4")
+#: Sketches may differ as far as those of pairs with this share of the threshold do.
+SKETCHED = 0.84
 
 
 def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +116,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sketch_rows(df: DataFrame, key: str, text: str, frequencies: np.ndarray, n: int, bands: int, rows: int) -> DataFrame:
-    """``(id, k1, k2, s1, s2, bands)``: for each text with shingles the 128-bit key of its shingle set, a
-    128-bit sketch of its samples and its band keys. ``k1`` also numbers the set."""
+    """``(id, k1, k2, s1..s4, bands)``: for each text with shingles the 128-bit key of its shingle set, a
+    sketch of two bits of each of its samples and its band keys. ``k1`` also numbers the set."""
     sent = df.sparkSession.sparkContext.broadcast(weights(frequencies))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,27 +132,33 @@ def sketch_rows(df: DataFrame, key: str, text: str, frequencies: np.ndarray, n:
                 sign, which = signatures(h, doc, sent.value, bands * rows)
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 k1, k2 = mix(np.add.reduceat(h, first)), mix(np.add.reduceat(mix(h ^ MIX_A), first))
-                ones = (sign & U64(1)) * bit
-                s1, s2 = ones[:, :half].sum(axis=1, dtype=U64), ones[:, half:].sum(axis=1, dtype=U64)
+                ones = [((sign >> U64(place)) & U64(1)) * bit for place in (0, 1)]
+                sketch = [x[:, part].sum(axis=1, dtype=U64) for x in ones for part in (slice(half), slice(half, None))]
                 band = np.zeros((len(which), bands), dtype=U64)
                 for r in range(rows):
                     band = band * MIX_A + sign[:, r::rows]
                 band = mix(band + np.arange(bands, dtype=U64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(which + lo)), *map(_signed, (k1, k2, s1, s2)),
+                        batch.column(0).take(pa.array(which + lo)), *map(_signed, (k1, k2, *sketch)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * bands), _signed(band.ravel())),
                     ],
-                    names=["id", "k1", "k2", "s1", "s2", "bands"],
+                    names=["id", "k1", "k2", *SKETCH, "bands"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, {' bigint, '.join(SKETCH)} bigint, bands array<bigint>")
 
 
 def _differ(a: str, b: str) -> Column:
-    bits = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2")]
-    return bits[0] + bits[1]
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+
+
+def most_differing(hashes: int, similarity: float, deviations: float = 3.5) -> int:
+    """Bits in which two sketches of pairs of this weighted Jaccard differ at most, but for so many
+    standard deviations: a sample that is not shared differs in 0, 1 or 2 of its bits."""
+    apart = 1 - similarity
+    return math.ceil(hashes * apart + deviations * math.sqrt(hashes * apart * (0.5 + similarity)))
 
 
 def verified(pairs: DataFrame, frequencies: np.ndarray, n: int, threshold: float) -> DataFrame:
@@ -192,8 +201,8 @@ class NearDuplicates:
     empty results.
 
     Candidates come from a self-join on band keys; a pair is passed on only where the two sketches differ
-    in at most as many bits as pairs at the limit do but for 4 standard deviations, so that a band key many
-    unlike texts share sends nothing. Equal sets are joined as one, so copies never meet in a band.
+    in at most as many bits as those of pairs somewhat below the threshold do (``most_differing``), so that
+    a band key many unlike texts share sends next to nothing. Equal sets are joined as one, so copies never meet in a band.
     """
 
     def __init__(self, df: DataFrame, key: str = "id", text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS):
@@ -203,12 +212,10 @@ class NearDuplicates:
         self.frequencies = document_frequencies(df, text, n)
         sketched = cut(sketch_rows(df, key, text, self.frequencies, n, bands, rows))
         self.members = sketched.select("id", "k1").distinct()
-        sets = sketched.groupBy("k1").agg(F.min_by(F.struct("id", "s1", "s2", "bands"), "id").alias("x")).select("k1", "x.*")
+        sets = sketched.groupBy("k1").agg(F.min_by(F.struct("id", *SKETCH, "bands"), "id").alias("x")).select("k1", "x.*")
         self.sets = sets
-        banded = sets.select("k1", "s1", "s2", F.explode("bands").alias("band"))
-        near = threshold / (2 - threshold)
-        spread = (1 - near) / 2
-        most = math.ceil(bands * rows * spread + 4 * math.sqrt(bands * rows * spread * (1 - spread)))
+        banded = sets.select("k1", *SKETCH, F.explode("bands").alias("band"))
+        most = most_differing(bands * rows, SKETCHED * threshold)
         a, b = banded.alias("a"), banded.alias("b")
         pairs = (
             a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k1") < F.col("b.k1")) & (_differ("a", "b") <= most))

@@ -8,6 +8,7 @@ from stratadoc.llm.knn_perm import most_similar, neighbour_pairs
 from stratadoc.llm.leak_search import leaks
 from stratadoc.llm.neardup import NearDuplicates
 from stratadoc.llm.packing import pack
+from stratadoc.llm.pair_defects import defective_pairs
 from stratadoc.llm.segment import split_oversized
 from stratadoc.session import table
 
@@ -36,6 +37,10 @@ def p3_found(spark, sf_dir):
     return p3_split(spark, sf_dir).filter(F.col("piece_index") == 1).select("block_id")
 
 
+def p4_found(spark, sf_dir):
+    return defective_pairs(table(spark, sf_dir, "query_log"))
+
+
 def p6_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def p7_found(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_nearest, p3_found, p3_split, p6_pack, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_nearest, p3_found, p3_split, p4_found, p6_pack, p7_found)}
 
 ORACLES = {
     "p1_found": r"""
