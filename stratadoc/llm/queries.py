@@ -8,7 +8,9 @@ from stratadoc.llm.knn_perm import most_similar, neighbour_pairs
 from stratadoc.llm.leak_search import leaks
 from stratadoc.llm.neardup import NearDuplicates
 from stratadoc.llm.packing import pack
+from stratadoc.llm.page_repair import PageRepair
 from stratadoc.llm.pair_defects import defective_pairs
+from stratadoc.llm.reading_level import reading_bands, train
 from stratadoc.llm.segment import split_oversized
 from stratadoc.session import table
 
@@ -41,6 +43,18 @@ def p4_found(spark, sf_dir):
     return defective_pairs(table(spark, sf_dir, "query_log"))
 
 
+def p5_found(spark, sf_dir):
+    return PageRepair(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "chunks")).noise()
+
+
+def p5_paragraphs(spark, sf_dir):
+    return PageRepair(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "chunks")).paragraphs()
+
+
+def p5_labels(spark, sf_dir):
+    return PageRepair(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "chunks")).labels()
+
+
 def p6_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +63,12 @@ def p7_found(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_nearest, p3_found, p3_split, p4_found, p6_pack, p7_found)}
+def p8_found(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return reading_bands(documents, train(documents, table(spark, sf_dir, "level_labels")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_nearest, p3_found, p3_split, p4_found, p5_found, p5_labels, p5_paragraphs, p6_pack, p7_found, p8_found)}
 
 ORACLES = {
     "p1_found": r"""
