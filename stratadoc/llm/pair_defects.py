@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratadoc.session import cut
+
 #: Most words and word pairs a model keeps, the most frequent ones.
 VOCABULARY = 50_000
 
@@ -143,7 +145,7 @@ def fit(pairs: DataFrame, vocabulary: int = VOCABULARY) -> Models:
         )
 
     counts = pairs.select("query", "response").mapInArrow(count, "model string, class string, feature string, n bigint")
-    by_feature = counts.groupBy("model", "feature").pivot("class", [*FUNCTION_WORDS, "yes", "no"]).agg(F.sum("n"))
+    by_feature = cut(counts.groupBy("model", "feature").pivot("class", [*FUNCTION_WORDS, "yes", "no"]).agg(F.sum("n")))
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in [*FUNCTION_WORDS, "yes", "no"]), F.lit(0))
     kept = [by_feature.filter(F.col("model") == m).orderBy(total.desc(), "feature").limit(vocabulary).collect() for m in ("language", "refusal", "ends")]
     langs = list(FUNCTION_WORDS)
