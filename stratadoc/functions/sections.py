@@ -6,10 +6,12 @@ the longest sequence, a second one cuts it into segments, and the rules are bool
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratadoc.functions.text import found, stripped
+from stratadoc.functions.text import found, let, stripped
 from stratadoc.schema import SEGMENT, UNKNOWN
 
 _SEGMENT = r"\((?:[ivxlcdmIVXLCDM]+|[a-zA-Z]|\d+)\)|\[(?:[ivxlcdmIVXLCDM]+|[a-zA-Z]|\d+)\]|\.\d+|\.[a-zA-Z]+|-\d+"
@@ -50,8 +52,7 @@ def _segment(raw: Column) -> Column:
 def number_text(line: Column) -> Column:
     """The section number a line begins with, null if there is none: at least two characters, no integer
     above 9,999."""
-    number = found(stripped(line), NUMBER, 0)
-    return F.when((F.length(number) >= 2) & ~number.rlike(r"(^|[^\d])0*[1-9]\d{4,}"), number)
+    return let(found(stripped(line), NUMBER, 0), lambda n: F.when((F.length(n) >= 2) & ~n.rlike(r"(^|[^\d])0*[1-9]\d{4,}"), n))
 
 
 def segments_of(number: Column) -> Column:
@@ -59,16 +60,15 @@ def segments_of(number: Column) -> Column:
     return F.transform(F.regexp_extract_all(number, F.lit(rf"(^\d+|{_SEGMENT})")), _segment).cast(SEGMENT)
 
 
-def _common(line: Column, number: Column) -> Column:
-    """Rules of body lines and headings alike, on the text of the number."""
+def _common(number: Column, rest: Column) -> Column:
+    """Rules of body lines and headings alike, on the number and what follows it."""
     lead = F.regexp_extract(number, r"^\d+", 0)
     year_like = lead.rlike(r"^(19|20)\d\d$") & ~number.rlike(r"[(\[]") & ~number.rlike(r"\.\d+.*\.\d+") & ~number.rlike(r"\.0*[1-9]\d\d")
-    rest = stripped(F.substr(stripped(line), F.length(number) + 1))
     return (
         (lead != "")
         & ~lead.startswith("0")
         & ~year_like
-        & (lead.cast("int") <= 8000)
+        & (lead.try_cast("int") <= 8000)
         & ~number.rlike(r"(^|[^\d])0+($|[^\d])")
         & ~number.rlike(r"^\d+-\d+-\d{4}$")
         & ~rest.rlike(r"^[+=<>/*%]")
@@ -76,34 +76,48 @@ def _common(line: Column, number: Column) -> Column:
     )
 
 
-def candidate(line: Column) -> Column:
-    """Section number a line of running text begins with, null if what it begins with may be something else:
-    a page number, a measure, a year, a document number or a number in a sentence."""
-    number = number_text(line)
-    rest = stripped(F.substr(stripped(line), F.length(number) + 1))
+def _checked(line: Column, rules: Callable[[Column, Column], Column]) -> Column:
+    """The number a line begins with if it passes ``rules``, given the number and what follows it."""
+    def check(bare: Column) -> Column:
+        parts = let(number_text(bare), lambda n: F.struct(n.alias("n"), stripped(F.substr(bare, F.length(n) + 1)).alias("rest")))
+        return let(parts, lambda p: F.when(rules(p["n"], p["rest"]), p["n"]))
+
+    return let(stripped(line), check)
+
+
+def _strict(number: Column, rest: Column) -> Column:
     two = number.rlike(r"^\d+\.\d+$")
     lead, second = F.regexp_extract(number, r"^(\d+)", 1), F.regexp_extract(number, r"^\d+\.(\d+)$", 1)
     single = number.rlike(rf"^\d(?:{_SEGMENT})$")
     measure = two & ((F.length(lead) == 2) & (F.length(second) >= 2) | (second.try_cast("int") > 50) & (lead.try_cast("int") < 200))
     deep = number.rlike(rf"^\d+(?:{_SEGMENT})+$")
-    return F.when(deep & _common(line, number) & ~single & ~measure & ~rest.rlike(r"^\p{Ll}"), number)
+    return deep & _common(number, rest) & ~single & ~F.coalesce(measure, F.lit(False)) & ~rest.rlike(r"^\p{Ll}")
+
+
+def candidate(line: Column) -> Column:
+    """Section number a line of running text begins with, null if what it begins with may be something else:
+    a page number, a measure, a year, a document number or a number in a sentence."""
+    return _checked(line, _strict)
 
 
 def relaxed(line: Column) -> Column:
     """Section number a heading line begins with; one segment is enough."""
-    number = number_text(line)
-    return F.when(number.rlike(r"^\d") & _common(line, number), number)
+    return _checked(line, lambda number, rest: number.rlike(r"^\d") & _common(number, rest))
 
 
 def heading_label(text: Column) -> Column:
     """Label of a heading: a number in its first five lines that are not blank, else Chapter, Section, Part
     or Article with its number, else the first line up to 50 characters, else UNKNOWN."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), stripped), lambda x: x != "")
-    few = F.slice(lines, 1, 5)
-    numbers = F.array_compact(F.transform(few, relaxed))
-    keywords = F.array_compact(F.transform(few, lambda x: found(x, KEYWORD)))
-    first = F.nullif(F.regexp_replace(F.substring(F.get(lines, F.lit(0)), 1, 50), r"[.:;,\- ]+$", ""), F.lit(""))
-    return F.coalesce(F.get(numbers, F.lit(0)), F.get(keywords, F.lit(0)), first, F.lit(UNKNOWN))
+
+    def label(lines: Column) -> Column:
+        few = F.slice(lines, 1, 5)
+        number = F.get(F.array_compact(F.transform(few, relaxed)), F.lit(0))
+        keyword = F.get(F.array_compact(F.transform(few, lambda x: found(x, KEYWORD))), F.lit(0))
+        first = F.nullif(F.regexp_replace(F.substring(F.get(lines, F.lit(0)), 1, 50), r"[.:;,\- ]+$", ""), F.lit(""))
+        return F.coalesce(number, keyword, first, F.lit(UNKNOWN))
+
+    return let(lines, label)
 
 
 def looks_real(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +46,11 @@ CAPTION = r"(?i)^(?:Exhibit|Figure|Table|Fig\.?)\s+\d"
 WEB_ADDRESS = r"(?i)(?:www\.|https?://|\.gov|\.org|\.com)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, SPACE_ENDS, "")

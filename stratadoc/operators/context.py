@@ -11,19 +11,23 @@ from stratadoc.schema import UNKNOWN
 BEFORE, AFTER = 1, 2
 
 
-def expanded(hits: DataFrame, chunks: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
-    """``hits`` (one row a query and place, with the chunk's columns) with ``context``: their own text and
-    those of the neighbouring chunks of the same file and section, in order and without overlaps.
+def neighbours(hits: DataFrame, chunks: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """``(query_id, place, chunk_index, text)``: the chunks around each hit in its file and section.
 
     The range of indices is unrolled into at most ``before + after`` equal keys, so the join is a plain
-    equi-join whatever the size of either side.
+    equi-join whatever the size of either side. A chunk stored several times counts once.
     """
-    own = hits.select("query_id", "place", "source_file", "section", "chunk_index", "text")
+    own = hits.select("query_id", "place", "source_file", "section", "chunk_index")
     offsets = F.array(*(F.lit(o) for o in range(-before, after + 1) if o))
     asked = own.select("query_id", "place", "source_file", "section", F.explode(F.transform(offsets, lambda o: F.col("chunk_index") + o)).alias("chunk_index"))
     near = chunks.groupBy("source_file", "section", "chunk_index").agg(F.min("text").alias("text"))
-    found = asked.join(near, ["source_file", "section", "chunk_index"]).select("query_id", "place", "chunk_index", "text")
-    every = found.unionByName(own.select("query_id", "place", "chunk_index", "text"))
+    return asked.join(near, ["source_file", "section", "chunk_index"]).select("query_id", "place", "chunk_index", "text")
+
+
+def expanded(hits: DataFrame, chunks: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """``hits`` (one row a query and place, with the chunk's columns) with ``context``: their own text and
+    those of the neighbouring chunks of the same file and section, in order and without overlaps."""
+    every = neighbours(hits, chunks, before, after).unionByName(hits.select("query_id", "place", "chunk_index", "text"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
     joined = every.groupBy("query_id", "place").agg(joined_without_overlap(F.transform(parts, lambda x: x["text"])).alias("context"))
     return hits.join(joined, ["query_id", "place"])

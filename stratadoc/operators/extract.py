@@ -9,6 +9,7 @@ from stratadoc.functions.sections import heading_label, looks_real
 from stratadoc.functions.text import CAPTION, LIST_MARK, SENTENCE_BREAK, WEB_ADDRESS, clean_page_text, is_toc, printed_page, stripped, words
 from stratadoc.operators.ordered import forward_fill, lagged, numbered, running_total
 from stratadoc.schema import UNKNOWN
+from stratadoc.session import cut
 
 SIZE, OVERLAP = 220, 50
 STEP = SIZE - OVERLAP
@@ -80,18 +81,21 @@ def with_running_labels(blocks: DataFrame, file: str, order: str) -> DataFrame:
     ``section`` of the headings so far; headers, footers, tables of contents and blank-page marks are dropped.
 
     Once a heading has a number or a keyword, only such headings change the section, so it is the last of
-    those so far, else the last heading's text. ``kind`` is read without case and padding.
+    those so far, else the last heading's text. ``kind`` is read without case and padding. ``order`` is an
+    integer column, distinct within the file; only it and the labels are followed through the file, and
+    the texts are joined to the result once.
     """
     kind = F.lower(F.trim("kind"))
     page = F.when(kind.isin("header", "footer"), F.nullif(printed_page(F.col("text")), F.lit("")))
     out = ~kind.isin("header", "footer") & ~is_toc(F.col("text"))
     blank = F.lower("text").contains("intentionally left blank")
     label = F.when(out & (kind == "heading") & ~blank, heading_label(F.col("text")))
-    marked = blocks.withColumns({"doc_page": page, "_label": label, "_real": F.when(looks_real(label), label), "_kept": out & ~((kind == "heading") & blank), "kind": kind})
+    marked = blocks.select(file, order, page.alias("doc_page"), label.alias("_label"), (out & ~((kind == "heading") & blank)).alias("_kept"))
+    marked = cut(marked.withColumn("_real", F.when(looks_real(F.col("_label")), F.col("_label"))))
     filled = forward_fill(marked, file, order, ["doc_page", "_label", "_real"], unknown="").filter("_kept")
     shown = {c: F.nullif(F.col(c), F.lit("")) for c in ("doc_page", "_label", "_real")}
-    labels = {"doc_page": F.coalesce(shown["doc_page"], F.lit(UNKNOWN)), "section": F.coalesce(shown["_real"], shown["_label"], F.lit(UNKNOWN))}
-    return filled.withColumns(labels).drop("_label", "_real", "_kept")
+    labels = filled.select(file, order, F.coalesce(shown["doc_page"], F.lit(UNKNOWN)).alias("doc_page"), F.coalesce(shown["_real"], shown["_label"], F.lit(UNKNOWN)).alias("section"))
+    return blocks.drop("doc_page", "section").withColumn("kind", kind).join(labels, [file, order])
 
 
 def chunked(blocks: DataFrame, file: str = "source_file", order: str = "block_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -108,10 +112,11 @@ def chunked(blocks: DataFrame, file: str = "source_file", order: str = "block_id
     """
     step = size - overlap
     rows = blocks.select(file, F.col(order).alias("at"), "page", "doc_page", "section", (F.lower(F.trim("kind")) == "heading").alias("head"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    rows = lagged(rows.withColumns({"count": F.size("w"), "state": F.struct("section", "head")}), file, "at", "state", "last")
+    slim = cut(rows.select(file, "at", "page", "doc_page", "section", "head", F.size("w").alias("count"), F.struct("section", "head").alias("state")))
+    slim = lagged(slim, file, "at", "state", "last")
     moved = (F.col("section") != F.col("last.section")) & (F.col("section") != UNKNOWN) & (F.col("last.section") != UNKNOWN)
-    starts = rows.withColumn("new", F.when(F.col("head") | moved | F.col("last").isNull(), 1).otherwise(0))
-    placed = running_total(running_total(starts, file, "at", "new", "segment"), file, "at", "count", "end")
+    starts = slim.withColumn("new", F.when(F.col("head") | moved | F.col("last").isNull(), 1).otherwise(0))
+    placed = cut(running_total(cut(running_total(starts, file, "at", "new", "segment")), file, "at", "count", "end"))
     segments = placed.groupBy(file, "segment").agg(
         (F.max("end") - F.min(F.col("end") - F.col("count"))).alias("n"),
         F.min(F.col("end") - F.col("count")).alias("base"),
@@ -129,7 +134,7 @@ def chunked(blocks: DataFrame, file: str = "source_file", order: str = "block_id
     inside = inside.withColumns({"upto": F.col("end") - F.col("base"), "start": F.col("end") - F.col("base") - F.col("count")})
     first = F.greatest(F.lit(0), F.ceil((F.col("start") - size + 1) / step)).cast("int")
     last = F.least(F.col("total") - 1, F.floor((F.col("upto") - 1) / step).cast("int"))
-    each = inside.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k"))
+    each = inside.filter(first <= last).join(rows.select(file, "at", "w"), [file, "at"]).select("*", F.explode(F.sequence(first, last)).alias("k"))
     stop = F.when(F.col("k") < F.col("full"), F.col("k") * step + size).otherwise(F.col("n"))
     begin = F.greatest(F.col("start"), F.col("k") * step)
     length = (F.least(F.col("upto"), stop) - begin).cast("int")

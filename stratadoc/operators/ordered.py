@@ -108,7 +108,8 @@ def tracked_sections(df: DataFrame, file: str, order: str, text: str, lines: int
     is never held in memory. Texts of one line always take their candidate.
     """
     rows = F.slice(F.split(F.regexp_replace(text, SPACE_ENDS, ""), r"\r\n|\r|\n"), 1, lines)
-    found = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("line"), segments_of(candidate(x)).alias("segments"))), lambda x: x.segments.isNotNull())
+    numbers = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("line"), candidate(x).alias("number"))), lambda x: x.number.isNotNull())
+    found = F.transform(numbers, lambda x: F.struct(x.line.alias("line"), segments_of(x.number).alias("segments")))
     sorted_rows = df.select(file, order, found.alias("found")).repartition(file).sortWithinPartitions(file, order)
 
     def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
