@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stratadoc import schema
 
+#: Most bytes of link files that are read.
+LINK_BYTES = 64_000_000
 TIERS = ("FEDERAL", "STATE", "LOCAL")
 
 
@@ -27,10 +29,27 @@ def misplaced(files: DataFrame) -> DataFrame:
 
 def link_entries(spark: SparkSession, root: str) -> DataFrame:
     """``(priority, folder, name, url)`` of the link files below ``root``: _links.json, links.json and
-    *_links.json of a folder in that order, then the root's _registry.json, whose names are paths."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*{links,_registry}.json").text(root)
-    base = root.rstrip("/") + "/"
-    path = F.substring_index(F.col("_metadata.file_path"), base, -1)
+    *_links.json of a folder in that order, then the root's _registry.json, whose names are paths.
+
+    Spark's own readers pass over names with a leading underscore, so these few small files are read on the
+    driver, up to ``LINK_BYTES`` in all. Broken ones have no entries.
+    """
+    found, total = [], 0
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.resolvePath(root).toString().rstrip("/") + "/"
+    listed = fs.listFiles(root, True)
+    while listed.hasNext():
+        file = listed.next()
+        if file.getPath().getName().endswith(("links.json", "_registry.json")):
+            total += file.getLen()
+            if total > LINK_BYTES:
+                raise ValueError(f"the link files hold more than {LINK_BYTES} bytes")
+            stream = fs.open(file.getPath())
+            found.append((file.getPath().toString().removeprefix(base), bytes(stream.readAllBytes()).decode("utf-8", "replace")))
+            stream.close()
+    files = spark.createDataFrame(found, "path string, value string")
+    path = F.col("path")
     name = F.element_at(F.split(path, "/"), -1)
     priority = F.when(name == "_links.json", 1).when(name == "links.json", 2).when(name.endswith("_links.json"), 3).when(path == "_registry.json", 4)
     folder = F.when(priority < 4, F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(""))
