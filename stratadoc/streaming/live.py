@@ -16,10 +16,10 @@ _STATE = "waiting string, everything string, cited boolean, seq int"
 _EVENTS = "session string, seq int, type string, text string, n int, raw string"
 
 
-def parse_tokens(tokens: DataFrame, timeout: str = "300000") -> DataFrame:
-    """Events of token streams (``session string, at bigint, token string, done boolean``), state kept for each
-    session: what waits, all there was and whether a source was cited. A session ends with ``done`` or when
-    nothing came for ``timeout`` milliseconds."""
+def parse_tokens(tokens: DataFrame, idle_ms: int = 300_000) -> DataFrame:
+    """Events of token streams (``session string, at bigint, token string, done boolean, ts timestamp``), state
+    kept for each session: what waits, all there was and whether a source was cited. A session ends with
+    ``done``, or when the watermark has passed its last token by ``idle_ms``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, everything, cited, seq = state.get if state.exists else ("", "", False, 0)
@@ -34,13 +34,15 @@ def parse_tokens(tokens: DataFrame, timeout: str = "300000") -> DataFrame:
             state.remove()
         else:
             state.update((parser.waiting, parser.everything, parser.cited, seq + len(events)))
-            state.setTimeoutDuration(int(timeout))
+            latest = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         if events:
             columns = {c: [e.get(c) for e in events] for c in ("type", "text", "n", "raw")}
             out = pd.DataFrame({"session": key[0], "seq": range(seq, seq + len(events)), **columns})
             yield out.astype({"n": "Int32"})
 
-    return tokens.groupBy("session").applyInPandasWithState(step, _EVENTS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = tokens.withWatermark("ts", f"{idle_ms} milliseconds")
+    return timed.groupBy("session").applyInPandasWithState(step, _EVENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def usage_counts(events: DataFrame, delay: str = "1 day", width: str = "1 hour") -> DataFrame:
@@ -64,5 +66,5 @@ def admitted(events: DataFrame, limit: int = DAILY_LIMIT, delay: str = "1 day")
         state.update((count,))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(key[1]).timestamp() * 1000)) + 2 * 86_400_000)
 
-    keyed = events.withWatermark("ts", delay).groupBy("client", F.to_date("ts").alias("day"))
+    keyed = events.withWatermark("ts", delay).withColumn("day", F.to_date("ts")).groupBy("client", "day")
     return keyed.applyInPandasWithState(step, "client string, ts timestamp, allowed boolean", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -38,20 +38,23 @@ def test_answers_come_back(spark):
 
 
 def run(query):
+    """All that is there now."""
+    started = query.trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert started.awaitTermination(40)
     finally:
-        query.stop()
+        started.stop()
 
 
 def test_streamed_tokens(spark, tmp_path):
     text = "- One.\n^^^1^^^\n- Two.\n^^^2^^^"
     rows = [("s", i, text[i : i + 4], i + 4 >= len(text)) for i in range(0, len(text), 4)]
     ddl = "session string, at bigint, token string, done boolean"
+    timed = lambda part: spark.createDataFrame(part, ddl).selectExpr("*", "timestamp_millis(1735689600000 + at) AS ts").coalesce(1)
     for k in (0, 4):
-        spark.createDataFrame(rows[k : k + 4] if k == 0 else rows[4:], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run(live.parse_tokens(stream).writeStream.format("memory").queryName("parsed_tokens").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start())
+        timed(rows[:4] if k == 0 else rows[4:]).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"{ddl}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(live.parse_tokens(stream).writeStream.format("memory").queryName("parsed_tokens").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append"))
     got = sorted(spark.table("parsed_tokens").collect(), key=lambda r: r.seq)
     assert [r.n for r in got if r.type == "source_block"] == [1, 2] and got[-1].type == "done"
     assert [r.seq for r in got] == list(range(len(got)))
@@ -61,7 +64,7 @@ def test_streamed_quota(spark, tmp_path):
     df = spark.createDataFrame([("a", "2025-01-01 10:00:00")] * 3 + [("b", "2025-01-01 11:00:00")], "client string, ts string").selectExpr("client", "to_timestamp(ts) AS ts")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run(live.admitted(stream, 2).writeStream.format("memory").queryName("quota_rows").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start())
+    run(live.admitted(stream, 2).writeStream.format("memory").queryName("quota_rows").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append"))
     rows = spark.table("quota_rows").collect()
     assert sorted((r.client, r.allowed) for r in rows) == [("a", False), ("a", True), ("a", True), ("b", True)]
 
@@ -70,5 +73,5 @@ def test_streamed_counts(spark, tmp_path):
     df = spark.createDataFrame([("x", "2025-01-01 10:05:00"), ("x", "2025-01-01 10:50:00"), ("y", "2025-01-01 11:00:00")], "event_type string, ts string").selectExpr("event_type", "to_timestamp(ts) AS ts")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run(live.usage_counts(stream).writeStream.format("memory").queryName("usage_rows").option("checkpointLocation", str(tmp_path / "cp")).outputMode("complete").start())
+    run(live.usage_counts(stream).writeStream.format("memory").queryName("usage_rows").option("checkpointLocation", str(tmp_path / "cp")).outputMode("complete"))
     assert sorted((r.event_type, r.n) for r in spark.table("usage_rows").collect()) == [("x", 2), ("y", 1)]
