@@ -116,13 +116,22 @@ def _unpack(packed: Iterable[bytes]) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32)[..., 0]
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``a`` with the same row of ``b``, in double precision."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
+
+
 def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.ndarray, same: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, vector, cosine)`` of the best ``k`` vectors of ``x`` for each query, itself (at ``same``) left out.
 
     With orders of length K, the footrule distance with absent pivots at rank K is
     K(K+1) - 2 sum(min(K - rank in one, K - rank in the other)) over the pivots they share, so it is added
-    up along the inverted files; vectors without a shared pivot are never touched.
+    up along the inverted files; vectors without a shared pivot are never touched. Candidates are ranked by
+    the product of unit vectors; the cosines of the best are computed again from ``q`` and ``x`` as they are.
     """
+    q_raw, x_raw, q, x = q, x, _unit(q), _unit(x)
     length = q_order.shape[1]
     post = x_order.ravel()
     by_pivot = np.argsort(post, kind="stable")
@@ -152,8 +161,7 @@ def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.nd
         found = np.isfinite(np.take_along_axis(near, top, 1))
         row, col = np.nonzero(found)
         vector = np.take_along_axis(best, top, 1)[row, col]
-        exact = np.einsum("ij,ij->i", q[lo + row].astype(np.float64), x[vector].astype(np.float64))
-        out.append((lo + row, vector, exact))
+        out.append((lo + row, vector, _cosines(q_raw[lo + row], x_raw[vector])))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
@@ -220,7 +228,8 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
         _, first = np.unique(number, return_index=True)  # copies from several partitions
         number, home = number[first], home[first]
         table = table.take(pa.array(first))
-        every = _unit(_unpack(p.as_py() for p in table.column("packed")))
+        raw = _unpack(p.as_py() for p in table.column("packed"))
+        every = _unit(raw)
         live = np.flatnonzero(home)
         if not len(live):
             return pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
@@ -228,7 +237,7 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
         place[live] = np.arange(len(live))
         local = every[live[: min(GROUP_PIVOTS, -(-len(live) // PER_PIVOT))]]  # in order of class number, so at random
         near = orders(every, local, min(order, len(local)))
-        a, b, near = neighbours(every, every[live], near, near[live], place, k + SPARE, reranked)
+        a, b, near = neighbours(raw, raw[live], near, near[live], place, k + SPARE, reranked)
         return pa.table({"query": pa.array(number[a]), "class": pa.array(number[live][b]), "cosine": pa.array(near)})
 
     members = cut(df.mapInArrow(number, f"id {kind}, class bigint").distinct())

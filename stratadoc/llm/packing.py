@@ -56,40 +56,49 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
 
 
-def _fill(room: int, counts: np.ndarray, most: np.ndarray) -> list[int]:
-    """Lengths still in ``counts`` to put into ``room``: one that fits exactly, else two that do, else the
-    longest that fits, and so on. ``most`` holds the longest length left up to each room."""
-    used: list[int] = []
-    taken: dict[int, int] = {}
-    left = lambda n: counts[n] - taken.get(n, 0)
-    while room > 0:
-        pick = [room] if left(room) > 0 else None
-        if pick is None:
-            a = np.arange(1, room // 2 + 1)
-            pair = a[(counts[a] > 0) & (counts[room - a] > 0)]
-            for x in pair[::-1].tolist():
-                need = {x: 1, room - x: 1} if x != room - x else {x: 2}
-                if all(left(n) >= k for n, k in need.items()):
-                    pick = [room - x, x]
-                    break
-        if pick is None:
-            n = int(most[room])
-            while n and left(n) <= 0:
-                n = int(most[n - 1])
-            if not n:
-                break
-            pick = [n]
-        for n in pick:
+def _fill(room: int, counts: np.ndarray, longest_first: bool) -> list[int]:
+    """Lengths still in ``counts`` for ``room``: one that fits exactly, else two that do, else, with
+    ``longest_first``, the longest that fits and then the rest of the room likewise, or else the best sum of
+    different lengths, of equal ones that with the longest lengths."""
+    if room <= 0:
+        return []
+    if counts[room] > 0:
+        return [room]
+    a = np.arange(1, room // 2 + 1)
+    pair = a[(counts[a] > 0) & (counts[room - a] > np.where(2 * a == room, 1, 0))]
+    if len(pair):
+        return [room - int(pair[-1]), int(pair[-1])]
+    lengths = np.flatnonzero(counts[: room + 1] > 0).tolist()
+    if longest_first and lengths:
+        counts[lengths[-1]] -= 1
+        rest = _fill(room - lengths[-1], counts, True)
+        counts[lengths[-1]] += 1
+        return [lengths[-1], *rest]
+    within = (1 << (room + 1)) - 1
+    sums = [1]  # bit s of sums[i]: the first i lengths can make the sum s
+    for n in lengths:
+        sums.append(sums[-1] | (sums[-1] << n) & within)
+    at, used = sums[-1].bit_length() - 1, []
+    for i in range(len(lengths) - 1, -1, -1):
+        n = lengths[i]
+        if n <= at and sums[i] >> (at - n) & 1:
             used.append(n)
-            taken[n] = taken.get(n, 0) + 1
-            room -= n
+            at -= n
     return used
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, sizes: tuple[int, ...] = SIZES, opening: int = OPENING) -> list[tuple[list[int], int, int]]:
     """``(lengths, size, times)``: patterns with the container size each ends in and how often it is used.
 
-    The longest length left opens a container. Every permitted size that holds it is tried and filled
+    Of two ways to fill a container the one that leaves less room unused is taken, of equal ones that with
+    fewer containers.
+    """
+    ways = [_plan(histogram, capacity, sizes, opening, longest_first) for longest_first in (True, False)]
+    return min(ways, key=lambda p: (sum(s * t for _, s, t in p), sum(t for *_, t in p)))
+
+
+def _plan(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...], opening: int, longest_first: bool) -> list[tuple[list[int], int, int]]:
+    """The longest length left opens a container. Every permitted size that holds it is tried and filled
     from what is left; the one of least cost, unused room plus ``opening``, for each token it holds is
     taken, and ends in the smallest permitted size that holds its contents.
     """
@@ -101,12 +110,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, sizes: tuple[int,
         counts[n] += k
     out = []
     while (top := int(np.flatnonzero(counts)[-1]) if counts.any() else 0):
-        most = np.maximum.accumulate(np.where(counts > 0, np.arange(capacity + 1), 0))
         best = None
         counts[top] -= 1
         for size in permitted:
             if size >= top:
-                content = [top, *_fill(size - top, counts, most)]
+                content = [top, *_fill(size - top, counts, longest_first)]
                 held = sum(content)
                 cost = (size - held + opening) / held
                 if best is None or cost <= best[0]:

@@ -150,7 +150,8 @@ def fit(pairs: DataFrame, vocabulary: int = VOCABULARY) -> Models:
     kept = [by_feature.filter(F.col("model") == m).orderBy(total.desc(), "feature").limit(vocabulary).collect() for m in ("language", "refusal", "ends")]
     langs = list(FUNCTION_WORDS)
     sums = {c: sum((r[c] or 0) for rows in kept[:2] for r in rows) + 1 for c in [*langs, "yes", "no"]}
-    language = {r.feature: {c: math.log(((r[c] or 0) + 0.1) / sums[c]) for c in langs} for r in kept[0]}
+    least = max(sums[c] for c in langs) / 50  # a language that is hardly there gains nothing by it
+    language = {r.feature: {c: math.log(((r[c] or 0) + 0.01) / max(sums[c], least)) for c in langs} for r in kept[0]}
     refusal = {r.feature: math.log(((r.yes or 0) + 0.2) / sums["yes"]) - math.log(((r.no or 0) + 0.2) / sums["no"]) for r in kept[1]}
     ends = {r.feature: ((r.yes or 0) + 0.02) / ((r.yes or 0) + (r.no or 0) + 0.2) for r in kept[2] if (r.yes or 0) + (r.no or 0) >= 20}
     return Models(language, refusal, ends)
