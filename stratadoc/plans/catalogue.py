@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import sections, text
 from stratadoc.operators import answers, catalogue_views, context, evaluation, extract, ordered, search, upkeep, usage
-from stratadoc.session import table
+from stratadoc.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,7 +149,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     chunks = chunks_once(spark, sf_dir, "text", "source_file", "agency", "jurisdiction", "state", "locality", "section", "llm_corrected_section", "doc_page", "page", "chunk_index", "file_link")
     asked = table(spark, sf_dir, "query_log").filter(F.col("log_id") % 50 == 0).select(F.col("log_id").alias("query_id"), "query", *(F.lit("").alias(f"filter_{f}") for f in search.FACETS))
-    return search.embedded(chunks, "text"), search.embedded(asked, "query")
+    return cut(search.embedded(chunks, "text")), cut(search.embedded(asked, "query"))
 
 
 @query()
