@@ -42,7 +42,7 @@ PLACEHOLDERS = "na n/a n.a nan nil none null nothing undefined empty blank tbd t
 REFUSALS = (
     r"\bi(?:'m| am) (?:sorry|afraid|unable|not able|not allowed|not permitted)\b", r"\bi (?:can(?:'t|not| not)|could not|won't|will not|must decline|have to decline|decline to) \b",
     r"\bi (?:do not|don't) have (?:the ability|enough|any|access|information|sufficient)\b", r"\bi would rather not\b", r"\bi have to leave this question\b", r"\b(?:outside|beyond) (?:of )?(?:my remit|my scope|what i am)\b",
-    r"\bno basis for me\b", r"\bno answer (?:can|could|is|was)\b", r"\bcannot be (?:determined|answered|established) from\b", r"\bsay nothing (?:on|about)\b", r"\bi won't guess\b", r"\bas an ai\b",
+    r"\bno basis for me\b", r"\bno answer (?:can|could|is|was)\b", r"\bcannot be (?:determined|answered|established) from\b", r"\bsay nothing (?:on|about)\b", r"\bnothing in the (?:documents|material|sources|excerpts|standards)\b", r"\bi won't guess\b", r"\bas an ai\b",
     r"\bthe provided standards do not (?:address|cover|contain)\b",
     r"\blo siento\b", r"\bno (?:puedo|es posible|me es posible|podemos) (?:responder|contestar|ayudar|dar)", r"\bno contienen información\b", r"\bfuera de mi (?:ámbito|alcance)\b", r"\bno dispongo de\b",
     r"\b(?:je suis )?désolée?\b", r"\bje ne (?:peux|puis|suis) pas\b", r"\bimpossible de répondre\b", r"\baucune réponse\b", r"\bne (?:contiennent|traitent) (?:pas|aucune)\b",
@@ -195,7 +195,8 @@ def is_refusal(response: str, models: Models) -> bool:
     if not tokens:
         return False
     score = sum(models.refusal.get(f"{a} {b}", 0.0) for a, b in zip(["^", *tokens], tokens)) / (len(tokens) + 3)
-    return (bool(_REFUSAL.search(text)) and score > -1.0) or (score > 1.0 and not re.search(r"\d", text))
+    learned = len(tokens) >= 4 and score > 1.8 and not re.search(r"[\d?]", text) and not re.match(r"\W*(?:yes|no|sí|oui|non|ja|nein)\b", text, re.IGNORECASE)
+    return (bool(_REFUSAL.search(text)) and score > -1.0) or learned
 
 
 def compressed(text: str, prompt: str) -> tuple[int, int]:
@@ -244,15 +245,15 @@ def is_truncated(response: str, models: Models) -> bool:
 
 
 def defect(query: str | None, response: str | None, models: Models) -> str | None:
-    """The type of defect of a pair, or None. The first that holds of empty, refusal, echo, language and
-    truncated; a null or empty query is never echoed and has no language."""
+    """The type of defect of a pair, or None. The first that holds of empty, echo, refusal, language and
+    truncated, a FAIL marker ruling out an echo; a null or empty query is never echoed and has no language."""
     if is_empty(response):
         return "empty"
-    if is_refusal(response, models):
-        return "refusal"
     query = query or ""
-    if is_echo(query, response):
+    if not _FAIL.search(response) and is_echo(query, response):
         return "echo"
+    if is_refusal(response, models):
+        return "refusal"
     asked, said = language_of(query, models), language_of(plain(response), models)
     wanted = {_NAMES[m.lower()] for m in _ASKS.findall(query)}
     if asked and said and said != asked and said not in wanted and len(letters(plain(response))) >= 4:
