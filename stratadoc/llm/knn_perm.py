@@ -14,7 +14,7 @@ dense regions hold more of them, and groups and inverted files stay of one size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,15 +123,15 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
 
 
-def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.ndarray, same: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.ndarray, same: np.ndarray, k: int, reranked: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, vector, cosine)`` of the best ``k`` vectors of ``x`` for each query, itself (at ``same``) left out.
 
     With orders of length K, the footrule distance with absent pivots at rank K is
     K(K+1) - 2 sum(min(K - rank in one, K - rank in the other)) over the pivots they share, so it is added
     up along the inverted files; vectors without a shared pivot are never touched. Candidates are ranked by
-    the product of unit vectors; the cosines of the best are computed again from ``q`` and ``x`` as they are.
+    the product of ``q`` and ``x``, which are unit vectors; ``exact`` gives the cosines of the best, by their
+    places, from the vectors as they are.
     """
-    q_raw, x_raw, q, x = q, x, _unit(q), _unit(x)
     length = q_order.shape[1]
     post = x_order.ravel()
     by_pivot = np.argsort(post, kind="stable")
@@ -161,7 +161,7 @@ def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.nd
         found = np.isfinite(np.take_along_axis(near, top, 1))
         row, col = np.nonzero(found)
         vector = np.take_along_axis(best, top, 1)[row, col]
-        out.append((lo + row, vector, _cosines(q_raw[lo + row], x_raw[vector])))
+        out.append((lo + row, vector, exact(lo + row, vector)))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
@@ -237,7 +237,8 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
         place[live] = np.arange(len(live))
         local = every[live[: min(GROUP_PIVOTS, -(-len(live) // PER_PIVOT))]]  # in order of class number, so at random
         near = orders(every, local, min(order, len(local)))
-        a, b, near = neighbours(raw, raw[live], near, near[live], place, k + SPARE, reranked)
+        exact = lambda q, x: _cosines(raw[q], raw[live[x]])
+        a, b, near = neighbours(every, every[live], near, near[live], place, k + SPARE, reranked, exact)
         return pa.table({"query": pa.array(number[a]), "class": pa.array(number[live][b]), "cosine": pa.array(near)})
 
     members = cut(df.mapInArrow(number, f"id {kind}, class bigint").distinct())
