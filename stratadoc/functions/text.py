@@ -37,6 +37,8 @@ AGENCY_TERMS = {
     "PROWAG": "ADA",
     "AASHTO": "AASHTO",
 }
+# Fixed value: what the retrieval model expects before a query.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 # Forms of section numbers in a query.
 SECTION_IN_QUERY = r"\b(?:\d{4}\.\d[\d.()a-zA-Z]*|[A-Z]\d+\.\d+|\d+-\d+\.\d[\d.()]*)"
 # Marks that keep a block from being a heading.

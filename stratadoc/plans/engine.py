@@ -22,10 +22,12 @@ CACHE_SECONDS = 3600
 class Engine:
     """Chunks, corrections, queries and usage below ``folder``; ``embed`` adds the column ``vector`` to rows.
 
-    Queries are logged only with ``log_queries``. Models are stand-ins unless others are given.
+    Queries are logged only with ``log_queries``. Models are stand-ins unless others are given; one that
+    wants a prefix before queries (``text.QUERY_PREFIX``) gets it as ``query_prefix``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, embed: Embedder = search.embedded, settings: config.Config | None = None, log_queries: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, embed: Embedder = search.embedded, settings: config.Config | None = None, log_queries: bool = False, query_prefix: str = ""):
+        self.query_prefix = query_prefix
         self.spark, self.folder, self.embed = spark, folder.rstrip("/"), embed
         self.settings, self.log_queries = settings or config.load(), log_queries
         self.table = upkeep.VersionedTable(spark, f"{self.folder}/chunks")
@@ -97,7 +99,8 @@ class Engine:
     def answer(self, requests: DataFrame, distance: float = search.MAX_DISTANCE) -> DataFrame:
         """``(query_id, prompt, answer)`` for requests (``query_id, query`` and facets to filter by); a query
         nothing is found for has the FAIL marker as its answer."""
-        asked = cut(self.embed(schema.with_missing_columns(requests, schema.REQUEST), "query"))
+        shown = schema.with_missing_columns(requests, schema.REQUEST).withColumn("_input", F.concat(F.lit(self.query_prefix), "query"))
+        asked = cut(self.embed(shown, "_input").drop("_input"))
         chunks = self.chunks()
         hits = cut(search.retrieve(chunks, asked, most=distance, floor=self.settings.rerank_floor).withColumn("place", F.col("rerank_place")))
         sources = context.grouped(context.expanded(hits, chunks))
