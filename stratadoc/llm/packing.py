@@ -56,22 +56,26 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
 
 
-def _fill(room: int, counts: np.ndarray, longest_first: bool) -> list[int]:
-    """Lengths still in ``counts`` for ``room``: one that fits exactly, else two that do, else, with
-    ``longest_first``, the longest that fits and then the rest of the room likewise, or else the best sum of
-    different lengths, of equal ones that with the longest lengths."""
+#: Ways to fill a container: the longest length that fits, again and again, which is first-fit decreasing; the
+#: same, but one or two lengths that fit exactly before it; the best sum of different lengths.
+WAYS = ("longest", "exact", "sums")
+
+
+def _fill(room: int, counts: np.ndarray, way: str) -> list[int]:
+    """Lengths still in ``counts`` for ``room``; of equal sums the one with the longest lengths."""
     if room <= 0:
         return []
     if counts[room] > 0:
         return [room]
-    a = np.arange(1, room // 2 + 1)
-    pair = a[(counts[a] > 0) & (counts[room - a] > np.where(2 * a == room, 1, 0))]
-    if len(pair):
-        return [room - int(pair[-1]), int(pair[-1])]
+    if way != "longest":
+        a = np.arange(1, room // 2 + 1)
+        pair = a[(counts[a] > 0) & (counts[room - a] > np.where(2 * a == room, 1, 0))]
+        if len(pair):
+            return [room - int(pair[-1]), int(pair[-1])]
     lengths = np.flatnonzero(counts[: room + 1] > 0).tolist()
-    if longest_first and lengths:
+    if way != "sums" and lengths:
         counts[lengths[-1]] -= 1
-        rest = _fill(room - lengths[-1], counts, True)
+        rest = _fill(room - lengths[-1], counts, way)
         counts[lengths[-1]] += 1
         return [lengths[-1], *rest]
     within = (1 << (room + 1)) - 1
@@ -90,18 +94,20 @@ def _fill(room: int, counts: np.ndarray, longest_first: bool) -> list[int]:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, sizes: tuple[int, ...] = SIZES, opening: int = OPENING) -> list[tuple[list[int], int, int]]:
     """``(lengths, size, times)``: patterns with the container size each ends in and how often it is used.
 
-    Of two ways to fill a container the one that leaves less room unused is taken, of equal ones that with
-    fewer containers.
+    Of the ``WAYS`` to fill a container the one that leaves least room unused is taken, of equal ones that with
+    fewest containers; so the result is never worse than first-fit decreasing with its containers downsized.
     """
-    ways = [_plan(histogram, capacity, sizes, opening, longest_first) for longest_first in (True, False)]
-    return min(ways, key=lambda p: (sum(s * t for _, s, t in p), sum(t for *_, t in p)))
+    plans = [_plan(histogram, capacity, sizes, opening, way) for way in WAYS]
+    plans.append(_plan(histogram, capacity, (capacity,), opening, WAYS[0], sizes))
+    return min(plans, key=lambda p: (sum(s * t for _, s, t in p), sum(t for *_, t in p)))
 
 
-def _plan(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...], opening: int, longest_first: bool) -> list[tuple[list[int], int, int]]:
+def _plan(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...], opening: int, way: str, final: tuple[int, ...] | None = None) -> list[tuple[list[int], int, int]]:
     """The longest length left opens a container. Every permitted size that holds it is tried and filled
     from what is left; the one of least cost, unused room plus ``opening``, for each token it holds is
-    taken, and ends in the smallest permitted size that holds its contents.
+    taken, and ends in the smallest size, of ``final`` if given, that holds its contents.
     """
+    ends = sorted({s for s in final or sizes if s <= capacity} | {capacity})
     permitted = sorted({s for s in sizes if s <= capacity} | {capacity})
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in histogram.items():
@@ -114,7 +120,7 @@ def _plan(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...], open
         counts[top] -= 1
         for size in permitted:
             if size >= top:
-                content = [top, *_fill(size - top, counts, longest_first)]
+                content = [top, *_fill(size - top, counts, way)]
                 held = sum(content)
                 cost = (size - held + opening) / held
                 if best is None or cost <= best[0]:
@@ -124,7 +130,7 @@ def _plan(histogram: dict[int, int], capacity: int, sizes: tuple[int, ...], open
         need = np.bincount(content, minlength=capacity + 1)
         times = int((counts[need > 0] // need[need > 0]).min())
         counts -= need * times
-        out.append((content, next(s for s in permitted if s >= held), times))
+        out.append((content, next(s for s in ends if s >= held), times))
     return out
 
 

@@ -235,10 +235,31 @@ def test_packing(spark):
         n = len(encode(t)) if t else 0
         own = [r for r in parts[i]][: None if i else 1]
         assert sum(r.n_tokens for r in own) == n and (len(own) == 1 or n > packing.CAPACITY)
-    assert sum(size.values()) - sum(held.values()) <= 2 * 256 + 0.01 * sum(held.values())
+    assert sum(size.values()) <= first_fit(sorted((r.n_tokens for r in rows if r.n_tokens), reverse=True), packing.CAPACITY, packing.SIZES)
     assert all(held[c] > next((s for s in reversed(packing.SIZES) if s < size[c]), 0) for c in held)
 
 
+def first_fit(lengths, capacity, sizes):
+    """Room of first-fit decreasing, each container in the smallest size that holds its contents."""
+    bins = []
+    for n in lengths:
+        k = next((i for i, b in enumerate(bins) if b + n <= capacity), None)
+        if k is None:
+            bins.append(n)
+        else:
+            bins[k] += n
+    return sum(next(s for s in sorted(sizes) if s >= b) for b in bins)
+
+
+def test_plan_is_never_worse_than_first_fit():
+    for seed in range(30):
+        pick = random.Random(seed)
+        lengths = sorted((pick.randint(1, pick.choice([40, 100])) for _ in range(pick.randint(1, 200))), reverse=True)
+        histogram = {n: lengths.count(n) for n in set(lengths)}
+        room = sum(s * t for _, s, t in packing.plan(histogram, 100, (25, 50, 100)))
+        assert sum(lengths) <= room <= first_fit(lengths, 100, (25, 50, 100))
+
+
 def test_plan_is_exact_on_any_histogram():
     for seed in range(20):
         pick = random.Random(seed)
