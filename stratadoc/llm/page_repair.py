@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratadoc.operators.ordered import forward_fill
+from stratadoc.session import cut
+
 #: Most words the decoder knows, the most frequent ones.
 VOCABULARY = 200_000
 #: Furniture repeats on at least this share of a file's pages, and on two.
@@ -306,21 +309,51 @@ def decode(tokens: list[Token], lexicon: Lexicon) -> list[Reading]:
     return path[::-1]
 
 
-def paragraphs(lines: list[str], skip: Iterable[int], readings: list[Reading], tokens: list[Token]) -> list[str]:
-    """The readings in paragraphs: at each line end a break costs by how unlike an end it looks, going on
+class Edges(NamedTuple):
+    """What the first and the last line of a page's running text tell about a paragraph over the page break."""
+
+    starts: bool  # the first line looks like a paragraph's begin
+    first_single: bool  # the first paragraph is one line
+    ends: bool  # the last line ends a sentence
+    short: bool
+    cut: bool  # the last line ends in a hyphen
+    last_single: bool
+
+
+def _ends(line: str) -> bool:
+    return bool(re.search(r"[.!?:][\"”')\]]*$", line.rstrip()))
+
+
+def _starts(line: str) -> bool:
+    return line.lstrip()[:1].isupper() or bool(re.match(r"\s*[-•*(\d]", line))
+
+
+def _break_costs(ends: bool, starts: bool, short: bool, cut: bool) -> tuple[float, float]:
+    """Costs of a break and of going on between two lines, but for blank lines."""
+    return 1.0 + 3 * (not ends) + 2 * (not starts) + 3 * cut, 2.0 * (short and ends)
+
+
+def goes_on(last: Edges, first: Edges) -> bool:
+    """Whether the last paragraph of a page and the first of the next are one: the choice between lines, of
+    the two paragraphs alone. There is no blank line to tell by, so a sentence that ends where the page does,
+    before a line like a begin, counts as an end."""
+    new, on = _break_costs(last.ends, first.starts, last.short, last.cut)
+    return on + 2.0 * (last.ends and first.starts) < new + 0.5 * last.last_single + 0.5 * first.first_single
+
+
+def paragraph_starts(lines: list[str], skip: Iterable[int]) -> tuple[set[int], Edges | None]:
+    """Lines that begin a paragraph: at each line end a break costs by how unlike an end it looks, going on
     by how like one it looks, and the cheapest sequence is chosen; very short paragraphs cost extra."""
     kept = [i for i in range(len(lines)) if i not in set(skip)]
     width = max((len(lines[i].rstrip()) for i in kept), default=1) or 1
     full = [i for i in kept if lines[i].strip()]
     if not full:
-        return []
+        return set(), None
     breaks: dict[int, tuple[float, float]] = {}
     for a, b in zip(full, full[1:]):
         blank = any(not lines[j].strip() and j not in skip for j in range(a + 1, b))
-        ends, starts = bool(re.search(r"[.!?:][\"”')\]]*$", lines[a].rstrip())), lines[b].lstrip()[:1].isupper() or bool(re.match(r"\s*[-•*(\d]", lines[b]))
-        short = len(lines[a].rstrip()) < 0.75 * width
-        unlike = 1.0 + 3 * (not ends) + 2 * (not starts) + 3 * (lines[a].rstrip()[-1:] in HYPHENS)
-        breaks[b] = (unlike, 5.0 * blank + 2.0 * (short and ends))
+        unlike, like = _break_costs(_ends(lines[a]), _starts(lines[b]), len(lines[a].rstrip()) < 0.75 * width, lines[a].rstrip()[-1:] in HYPHENS)
+        breaks[b] = (unlike, 5.0 * blank + like)
     best: list[tuple[float, int]] = [(0.0, -1)]  # cost with a paragraph that begins at full[k], where it came from
     for k in range(1, len(full) + 1):
         options = []
@@ -333,7 +366,15 @@ def paragraphs(lines: list[str], skip: Iterable[int], readings: list[Reading], t
     while k > 0:
         k = best[k][1]
         starts.add(full[k])
+    last = lines[full[-1]].rstrip()
+    return starts, Edges(_starts(lines[full[0]]), len(full) == 1 or full[1] in starts, _ends(last), len(last) < 0.75 * width, last[-1:] in HYPHENS, full[-1] in starts)
+
+
+def paragraphs(starts: set[int], readings: list[Reading], tokens: list[Token]) -> list[str]:
+    """The readings in paragraphs; the first is empty where all its words belong to the page before."""
     out: list[list[str]] = []
+    if starts and tokens and tokens[0].line < 0 and (not readings or any(min(starts) < x <= tokens[readings[0].first].line for x in starts)):
+        out.append([])
     for r in readings:
         line = tokens[r.first].line
         if not out or (line in starts and r.first and tokens[r.first - 1].line != line):
@@ -429,12 +470,12 @@ def page_rows(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     edge = edge.groupBy("source_file", "page").agg(F.min("opens").alias("opens"), F.min("closes").alias("closes"))
     after = edge.filter("opens is not null").select("source_file", (F.col("page") - 1).alias("page"), F.col("opens").alias("rest"))
     before = edge.filter("closes is not null").select("source_file", (F.col("page") + 1).alias("page"), F.col("closes").alias("begun"))
-    return pages.join(after, ["source_file", "page"], "left").join(before, ["source_file", "page"], "left").select("block_id", "text", "headers", "rest", "begun")
+    return pages.join(after, ["source_file", "page"], "left").join(before, ["source_file", "page"], "left").select("block_id", "source_file", "page", "text", "headers", "rest", "begun")
 
 
-def repair_page(text: str | None, headers: list[str], rest: str | None, begun: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, str]], list[str]]:
-    """``(line number from 1, kind of noise)`` and the repaired paragraphs of one page. A word cut by the
-    page's end is completed here and left out on the next page."""
+def repair_page(text: str | None, headers: list[str], rest: str | None, begun: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, str]], list[str], Edges | None]:
+    """``(line number from 1, kind of noise)``, the repaired paragraphs of one page and its edges. A word cut
+    by the page's end is completed here and left out on the next page."""
     lines = (text or "").split("\n")
     lines = [x.rstrip("\r") for x in lines]
     found = furniture(lines, headers, lexicon)
@@ -450,7 +491,8 @@ def repair_page(text: str | None, headers: list[str], rest: str | None, begun: s
     if tokens and not rest and re.search(rf"[a-z]{{2}}[{HYPHENS}]$", tokens[-1].text) and lexicon.read(tokens[-1].text.strip(_EDGE + HYPHENS))[0] > lexicon.unknown:
         noise.add((tokens[-1].line, "hyphen"))  # the rest is on a page that is not here
     own = [r for r in readings if given[r.first].line >= 0 and given[r.first].line < len(lines)]
-    return sorted((i + 1, kind) for i, kind in noise if 0 <= i < len(lines)), paragraphs(lines, found, own, given)
+    starts, edges = paragraph_starts(lines, found)
+    return sorted((i + 1, kind) for i, kind in noise if 0 <= i < len(lines)), paragraphs(starts, own, given), edges
 
 
 _LABEL_NUMBER = re.compile(r"\d+(?:-\d+)*(?:\.\d+)*(?:\((?:\d+|[a-z]|[ivx]+)\))*|\d+[A-HJ-NP-RT-Z]\.\d+(?:\((?:\d+|[a-z]|[ivx]+)\))*")
@@ -540,10 +582,54 @@ class PageRepair:
 
     def noise(self) -> DataFrame:
         """``(record_key, line_no, noise)``."""
-        lines = self._each(lambda key, noise, _: [(key, line, kind) for line, kind in noise], "record_key string, line_no int, noise string")
+        lines = self._each(lambda key, noise, *_: [(key, line, kind) for line, kind in noise], "record_key string, line_no int, noise string")
         labels = self.labels().select("record_key", F.lit(0).alias("line_no"), F.col("field").alias("noise"))
         return lines.unionByName(labels).distinct()
 
     def paragraphs(self) -> DataFrame:
-        """``(record_key, paragraph, text)``: the continuous text of each scanned page, paragraphs from 0."""
-        return self._each(lambda key, _, parts: [(key, i, p) for i, p in enumerate(parts)], "record_key string, paragraph int, text string").distinct()
+        """``(record_key, paragraph, text)``: the continuous text of each scanned page alone, paragraphs from 0."""
+        return self._each(lambda key, _, parts, __: [(key, i, p) for i, p in enumerate(filter(None, parts))], "record_key string, paragraph int, text string").distinct()
+
+    def continuous(self) -> DataFrame:
+        """``(record_key, paragraph, text)``: paragraphs with those that go on over page breaks in one, each
+        under the page it begins on, numbered there from 0. A page within a longer paragraph has no row.
+
+        Copies of a page give the same rows under their own keys. Where a page has several texts, the first
+        and the last of them, by ``block_id``, meet the pages before and after.
+        """
+        sent = self.sent
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = [repair_page(r["text"], r["headers"] or [], r["rest"], r["begun"], sent.value)[1:] for r in batch.to_pylist()]
+                own = [batch.column(batch.schema.get_field_index(c)) for c in ("keys", "source_file", "page")]
+                edges = [e and e._asdict() for _, e in done]
+                kind = pa.struct([(f, pa.bool_()) for f in Edges._fields])
+                yield pa.RecordBatch.from_arrays([*own, pa.array([p for p, _ in done], pa.list_(pa.string())), pa.array(edges, kind)], names=["keys", "source_file", "page", "parts", "edges"])
+
+        once = self.pages.groupBy("source_file", "page", "text").agg(F.sort_array(F.collect_set("block_id")).alias("keys"), *(F.first(c).alias(c) for c in ("headers", "rest", "begun")))
+        key = self.pages.schema["block_id"].dataType.simpleString()
+        struct = ", ".join(f"{f}: boolean" for f in Edges._fields)
+        units = cut(once.mapInArrow(run, f"keys array<{key}>, source_file string, page int, parts array<string>, edges struct<{struct}>").filter("edges is not null"))
+        units = units.withColumn("unit", F.col("keys")[0])
+        placed = units.filter("source_file is not null and page is not null").groupBy("source_file", "page")
+        before = placed.agg(F.max_by(F.struct("unit", "edges"), "unit").alias("u")).select("source_file", (F.col("page") + 1).alias("page"), F.col("u.unit").alias("left"), F.col("u.edges").alias("last"))
+        after = placed.agg(F.min_by(F.struct("unit", "edges"), "unit").alias("u")).select("source_file", "page", F.col("u.unit").alias("unit"), F.col("u.edges").alias("first"))
+
+        def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                on = [goes_on(Edges(**a), Edges(**b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["unit", "left"]).filter(pa.array(on, pa.bool_()))
+
+        links = before.join(after, ["source_file", "page"]).select("unit", "left", "last", "first").mapInArrow(decide, f"unit {key}, left {key}")
+        units = cut(units.join(links, "unit", "left"))
+        # the paragraph that is open at a page's end begins on the last page that has more than one or is not linked
+        own, size = F.col("left").isNull() | (F.size("parts") > 1), F.size("parts") - F.col("left").isNotNull().cast("int") - 1
+        root = units.select("source_file", "page", "unit", F.when(own, F.concat_ws(" ", "unit", size)).alias("root"))
+        root = forward_fill(root, "source_file", "page", ["root"], ["unit"], unknown="").select(F.col("unit").alias("left"), F.split("root", " ").alias("root"))
+        pieces = units.select("unit", "left", "keys", "page", F.posexplode("parts").alias("i", "text"))
+        new = pieces.filter("left is null or i > 0").select("unit", (F.col("i") - F.col("left").isNotNull().cast("int")).alias("paragraph"), "keys", "page", "text")
+        on = pieces.filter("left is not null and i = 0").join(root, "left").select(F.col("root")[0].cast(key).alias("unit"), F.col("root")[1].cast("int").alias("paragraph"), F.lit(None).cast(f"array<{key}>").alias("keys"), "page", "text")
+        whole = new.unionByName(on).groupBy("unit", "paragraph").agg(F.max("keys").alias("keys"), F.sort_array(F.collect_list(F.struct("page", "text"))).alias("x"))
+        text = F.array_join(F.filter(F.col("x.text"), lambda t: t != ""), " ").alias("text")
+        return whole.select(F.explode("keys").alias("record_key"), "paragraph", text).filter("text != ''").withColumn("record_key", F.col("record_key").cast("string"))

@@ -48,7 +48,7 @@ def p5_found(spark, sf_dir):
 
 
 def p5_paragraphs(spark, sf_dir):
-    return PageRepair(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "chunks")).paragraphs()
+    return PageRepair(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "chunks")).continuous()
 
 
 def p5_labels(spark, sf_dir):

@@ -206,6 +206,31 @@ def test_page_repair(spark):
     assert "The culvert holds 40" in text["102"]
 
 
+def test_paragraphs_go_on_over_page_breaks(spark):
+    clean = "the retaining wall beside the shared use path shall be inspected before each shift. every culvert must be replaced by a qualified crew at regular intervals."
+    rows = [(i, "clean.pdf", clean, i, 10.0, "Roman") for i in range(1, 31)]
+    pages = {
+        1: "Every culvert must be replaced.\n\nThe retaining wall beside the shared use path\nshall be inspected before each shift by a",
+        2: "qualified crew at regular intervals and every\nculvert must be replaced before each shift by a",
+        3: "qualified crew.\n\nEvery culvert must be inspected at regular in-",
+        4: "tervals.\n\nThe retaining wall must be replaced.",
+        5: "Every culvert must be inspected.",
+        7: "before each shift by a qualified crew.",
+    }
+    rows += [(100 + i, "scan.pdf", page(i, t), i, 0.0, "") for i, t in pages.items()] + [(203, "scan.pdf", page(3, pages[3]), 3, 0.0, ""), (300, "other.pdf", pages[2], None, 0.0, ""), (400, None, pages[5], 5, 0.0, "")]
+    df = spark.createDataFrame(rows, "block_id bigint, source_file string, text string, page int, font_size double, font_name string").withColumns({c: F.lit("UNKNOWN") for c in ("doc_page", "section")})
+    repair = page_repair.PageRepair(df, spark.createDataFrame([], "id string, section string"))
+    got = sorted((r.record_key, r.paragraph, r.text) for r in repair.continuous().collect())
+    whole = "Every culvert must be inspected at regular intervals."
+    assert got == [
+        ("101", 0, "Every culvert must be replaced."),
+        ("101", 1, "The retaining wall beside the shared use path shall be inspected before each shift by a qualified crew at regular intervals and every culvert must be replaced before each shift by a qualified crew."),
+        ("103", 0, whole), ("104", 0, "The retaining wall must be replaced."), ("105", 0, "Every culvert must be inspected."), ("107", 0, "before each shift by a qualified crew."),
+        ("203", 0, whole), ("300", 0, "qualified crew at regular intervals and every culvert must be replaced before each shift by a"), ("400", 0, "Every culvert must be inspected."),
+    ]
+    assert repair.continuous().columns == ["record_key", "paragraph", "text"]
+
+
 def test_no_pages(spark):
     blocks = spark.createDataFrame([], "block_id bigint, source_file string, text string, page int, doc_page string, section string, font_size double, font_name string")
     chunks = spark.createDataFrame([], "id string, section string")
