@@ -51,6 +51,15 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(groups[a] == groups[b] for a, b in got) and set(groups) == set(ids)
 
 
+def test_edits_of_a_hot_text_are_found(spark):
+    core = words(60, 3)
+    rows = [(f"h{i:03}", " ".join([*core, *(f"tail{i}x{j}" for j in range(29))])) for i in range(150)]
+    rows += [(f"o{i:03}", " ".join(f"other{i}x{j}" for j in range(80))) for i in range(300)]
+    found = {(r.id_a, r.id_b): r.jaccard for r in neardup.NearDuplicates(chunk_rows(spark, rows)).pairs().collect()}
+    assert all(a[0] == b[0] == "h" and abs(j - 0.5) < 1e-9 for (a, b), j in found.items())
+    assert len(found) >= 0.98 * 150 * 149 / 2
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.NearDuplicates(chunk_rows(spark, []))
     assert found.pairs().count() == 0 and found.groups().count() == 0
