@@ -355,13 +355,15 @@ def paragraph_starts(lines: list[str], skip: Iterable[int]) -> tuple[set[int], E
         unlike, like = _break_costs(_ends(lines[a]), _starts(lines[b]), len(lines[a].rstrip()) < 0.75 * width, lines[a].rstrip()[-1:] in HYPHENS)
         breaks[b] = (unlike, 5.0 * blank + like)
     best: list[tuple[float, int]] = [(0.0, -1)]  # cost with a paragraph that begins at full[k], where it came from
+    inner = [0.0]  # running sums of the costs of going on
+    for line in full[1:]:
+        inner.append(inner[-1] + breaks[line][1])
+    longer = (math.inf, -1)  # the best begin of a paragraph of two lines or more, its cost without the sum up to its end
     for k in range(1, len(full) + 1):
-        options = []
-        for j in range(max(0, k - 80), k):
-            inner = sum(breaks[full[x]][1] for x in range(j + 1, k))
-            edge = breaks[full[k]][0] if k < len(full) else 0.0
-            options.append((best[j][0] + inner + edge + (0.5 if k - j == 1 else 0.0), j))
-        best.append(min(options))
+        edge = breaks[full[k]][0] if k < len(full) else 0.0
+        cost, j = min((longer[0] + inner[k - 1], longer[1]), (best[k - 1][0] + 0.5, k - 1))
+        best.append((cost + edge, j))
+        longer = min(longer, (best[k - 1][0] - inner[k - 1], k - 1))
     starts, k = set(), len(full)
     while k > 0:
         k = best[k][1]

@@ -240,6 +240,27 @@ def test_paragraphs_go_on_over_page_breaks(spark):
     assert repair.continuous().columns == ["record_key", "paragraph", "text"]
 
 
+def test_a_long_paragraph_is_not_cut():
+    lines = ["Every culvert must be inspected."] + [""] + ["The wall beside the shared use path"] + ["and the wall beside the shared use path"] * 400
+    assert page_repair.paragraph_starts(lines, [])[0] == {0, 2}
+    rng = random.Random(5)
+    for _ in range(200):  # against every way to break
+        lines = [rng.choice(["", "The wall stands.", "the wall beside it", "The wall beside the path is", "of it."]) for _ in range(9)]
+        full = [i for i, x in enumerate(lines) if x]
+        if full:
+            got = page_repair.paragraph_starts(lines, [])[0]
+            assert cost_of(lines, full, got) == min(cost_of(lines, full, {full[0], *(x for k, x in enumerate(full[1:]) if ways >> k & 1)}) for ways in range(1 << (len(full) - 1)))
+
+
+def cost_of(lines, full, starts):
+    width, total = max(map(len, lines)), 0.0
+    for a, b in zip(full, full[1:]):
+        ends, begins = lines[a].endswith("."), lines[b][0].isupper()
+        on = 5.0 * (b - a > 1) + 2.0 * (len(lines[a]) < 0.75 * width and ends)
+        total += 1.0 + 3 * (not ends) + 2 * (not begins) if b in starts else on
+    return total + 0.5 * sum(b in starts and (k + 1 == len(full) or full[k + 1] in starts) for k, b in enumerate(full))
+
+
 def test_no_pages(spark):
     blocks = spark.createDataFrame([], "block_id bigint, source_file string, text string, page int, doc_page string, section string, font_size double, font_name string")
     chunks = spark.createDataFrame([], "id string, section string")
