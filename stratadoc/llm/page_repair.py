@@ -25,8 +25,10 @@ from stratadoc.session import cut
 
 #: Most words the decoder knows, the most frequent ones.
 VOCABULARY = 200_000
-#: Furniture repeats on at least this share of a file's pages, and on two.
+#: Furniture repeats on at least this share of a file's pages, or of the pages in a stretch of them, and on two.
 REPEATED = 0.1
+#: Pages in a stretch. There are two rows of stretches, one half a stretch later, so neighbours always share one.
+STRETCH = 20
 
 # Groups of characters that recognition takes for one another; the first stands for all.
 PAIRS = {"vv": "w", "rn": "m", "ri": "n", "cl": "d", "ii": "u"}
@@ -423,8 +425,9 @@ def lexicon_of(blocks: DataFrame, vocabulary: int = VOCABULARY) -> Lexicon:
 
 
 def running_headers(pages: DataFrame, share: float = REPEATED) -> DataFrame:
-    """``(source_file, headers)``: looks of the lines that repeat at the head or foot of a file's pages. A
-    file has at most four such lines a page, each on at least ``share`` of the pages, so few."""
+    """``(source_file, row, stretch, headers)``: looks of the lines that repeat at the head or foot of a file's
+    pages (row 0) or of a stretch of them (rows 1 and 2), as headers that change by chapter do. A page has at
+    most four such lines, each on at least ``share`` of the pages, so few a file and a stretch."""
 
     def looks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,9 +446,17 @@ def running_headers(pages: DataFrame, share: float = REPEATED) -> DataFrame:
 
     page = pages.schema["page"].dataType.simpleString()
     found = pages.select("source_file", "page", "text").mapInArrow(looks, f"source_file string, page {page}, look string").distinct()
-    size = pages.select("source_file", "page").distinct().groupBy("source_file").agg(F.count("*").alias("pages"))
-    often = found.groupBy("source_file", "look").agg(F.count("*").alias("n")).join(size, "source_file").filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("pages")))
-    return often.groupBy("source_file").agg(F.collect_set("look").alias("headers"))
+    places = F.explode(F.array(*(F.struct(F.lit(r).alias("row"), at.alias("stretch")) for r, at in enumerate(stretches())))).alias("at")
+    by = ["source_file", "row", "stretch"]
+    size = pages.select("source_file", "page").distinct().select("source_file", places).select("source_file", "at.*").groupBy(*by).agg(F.count("*").alias("pages"))
+    often = found.select("source_file", "look", places).select("source_file", "look", "at.*").groupBy(*by, "look").agg(F.count("*").alias("n"))
+    often = often.join(size, by).filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("pages")))
+    return cut(often.groupBy(*by).agg(F.collect_set("look").alias("headers")))
+
+
+def stretches() -> tuple[Column, ...]:
+    """Numbers of the stretches a page is in: the whole file, and one in each row of stretches."""
+    return F.lit(0).cast("bigint"), F.floor(F.col("page") / STRETCH), F.floor((F.col("page") + STRETCH // 2) / STRETCH)
 
 
 #: What is kept of the page before and after: the end of a word cut in two, and its rest.
@@ -456,7 +467,12 @@ def page_rows(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     """Scanned pages with their file's headers, the first token of the next page (``rest``) and, where the
     page before ends in a cut word, its last token (``begun``)."""
     pages = blocks.filter(scanned(F.col("font_size"), F.col("font_name"))).select("block_id", "source_file", F.col("page").cast("int").alias("page"), "text")
-    pages = pages.join(headers, "source_file", "left")
+    for r, at in enumerate(stretches()):
+        part = headers.filter(F.col("row") == r).select("source_file", F.col("stretch").alias("_at"), F.col("headers").alias(f"_{r}"))
+        pages = pages.withColumn("_at", at).join(part, ["source_file", "_at"], "left").drop("_at")
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(*(F.coalesce(f"_{r}", none) for r in range(3))))
+    pages = pages.select("block_id", "source_file", "page", "text", every.alias("headers"))
 
     def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

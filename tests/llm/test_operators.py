@@ -240,6 +240,17 @@ def test_paragraphs_go_on_over_page_breaks(spark):
     assert repair.continuous().columns == ["record_key", "paragraph", "text"]
 
 
+def test_headers_that_change_by_chapter(spark):
+    clean = "the retaining wall beside the shared use path shall be inspected before each shift."
+    rows = [(i, "clean.pdf", clean, i, 10.0, "Roman") for i in range(1, 31)]
+    chapter = lambda i: "Drainage and Culverts" if 117 <= i < 123 else "Ramp Landings" if i in (200, 201) else "Only Once" if i in (20, 90, 160) else None
+    rows += [(1000 + i, "scan.pdf", (f"{chapter(i)}\n" if chapter(i) else "") + f"The wall {words(6, i)} shall be inspected.\n{i}", i, 0.0, "") for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "block_id bigint, source_file string, text string, page int, font_size double, font_name string").withColumns({c: F.lit("UNKNOWN") for c in ("doc_page", "section")})
+    noise = page_repair.PageRepair(df, spark.createDataFrame([], "id string, section string")).noise()
+    got = {(r.record_key, r.line_no) for r in noise.filter("noise = 'running_header'").collect()}
+    assert got == {(str(1000 + i), 1) for i in [*range(117, 123), 200, 201]}
+
+
 def test_a_long_paragraph_is_not_cut():
     lines = ["Every culvert must be inspected."] + [""] + ["The wall beside the shared use path"] + ["and the wall beside the shared use path"] * 400
     assert page_repair.paragraph_starts(lines, [])[0] == {0, 2}
