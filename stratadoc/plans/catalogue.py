@@ -1,7 +1,8 @@
 """Registry of the queries over the engine's own operators, with the SQL they must agree with.
 
 Every query reads its whole tables. Search queries take as their queries every row whose key is divisible
-by 50, against all rows.
+by 50, against all rows; ``knn_topk``, ``knn_filtered``, ``knn_cutoff`` and ``rrf_fuse`` take the one or two
+vectors their SQL names.
 """
 
 from __future__ import annotations
