@@ -142,6 +142,41 @@ def rrf_fuse(spark, sf_dir):
     return search.fused(lists, "vec_id", 30).select("vec_id", F.round("score", 9).alias("score"), "distance")
 
 
+_ASKED = f"""
+    c AS {ONE_CHUNK},
+    q AS (SELECT id AS query_id, vector, 'What does ' || coalesce(agency, '') || ' say of 1926.5' || page || ' ' || coalesce(array_to_string(regexp_split_to_array(text, ' ')[1:6], ' '), '') AS query,
+                 CASE WHEN chunk_index % 100 = 0 THEN coalesce(agency, '') ELSE '' END AS filter_agency, CASE WHEN chunk_index % 150 = 0 THEN coalesce(state, '') ELSE '' END AS filter_state
+          FROM c WHERE chunk_index % 50 = 0)"""
+_WITHIN = "(filter_agency = '' OR filter_agency = agency) AND (filter_state = '' OR filter_state = state)"
+
+
+@query(f"""
+    WITH {_ASKED}, {_POSTINGS},
+    s AS (SELECT count(*) AS texts, avg(length) AS mean FROM (SELECT DISTINCT id, length FROM p)),
+    d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    a AS (SELECT DISTINCT query_id, filter_agency, filter_state, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q WHERE regexp_matches(query, '{text.SECTION_IN_QUERY}')),
+    t AS (SELECT query_id, id, round(sum(ln(1 + (texts - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+          FROM a JOIN p USING (term) JOIN d USING (term) CROSS JOIN s JOIN c USING (id) WHERE {_WITHIN} GROUP BY query_id, id),
+    b AS (SELECT * FROM (SELECT query_id, vector, CASE {" ".join(f"WHEN contains(upper(query), '{t}') THEN '{a}'" for t, a in text.AGENCY_TERMS.items())} END AS filter_agency, filter_state FROM q WHERE filter_agency = '' AND filter_state = '') WHERE filter_agency IS NOT NULL),
+    v AS (SELECT 0 AS list_id, 1.0::DOUBLE AS weight, query_id, vector, filter_agency, filter_state FROM q UNION ALL SELECT 2, 0.5, query_id, vector, filter_agency, filter_state FROM b),
+    n AS (SELECT list_id, weight, query_id, id, list_distance(v.vector::DOUBLE[], c.vector::DOUBLE[]) ** 2 AS distance FROM v JOIN c ON len(v.vector) = len(c.vector) AND {_WITHIN}),
+    l AS (SELECT list_id, weight, query_id, id, distance, row_number() OVER (PARTITION BY query_id, list_id ORDER BY distance, id) - 1 AS rank FROM n QUALIFY rank < 90
+          UNION ALL SELECT 1, 1.0, query_id, id, -1.0, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM t QUALIFY rank < 90),
+    m AS (SELECT query_id, id, round(sum(weight / (rank + 60)), 12) AS score, arg_max(distance, list_id) AS distance, min(list_id * 1000 + rank) AS first FROM l GROUP BY query_id, id)
+    SELECT query_id, id, round(score, 9) AS score, round(distance, 4) AS distance, CAST(place AS INTEGER) AS place
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m.score DESC, first, id) - 1 AS place FROM m) WHERE place < 30
+""")
+def hybrid_lists(spark, sf_dir):
+    """The three lists and their fusion for every chunk whose index is divisible by 50, some within facets, by the vectors of the table."""
+    chunks = cut(chunks_once(spark, sf_dir, "text", "vector", "source_file", "agency", "jurisdiction", "state", "locality", "page", "chunk_index"))
+    begin = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    said = F.concat(F.lit("What does "), F.coalesce("agency", F.lit("")), F.lit(" say of 1926.5"), F.col("page").cast("string"), F.lit(" "), F.coalesce(begin, F.lit("")))
+    facet = {"agency": F.when(F.col("chunk_index") % 100 == 0, F.coalesce("agency", F.lit(""))).otherwise(""), "state": F.when(F.col("chunk_index") % 150 == 0, F.coalesce("state", F.lit(""))).otherwise("")}
+    asked = chunks.filter(F.col("chunk_index") % 50 == 0).select(F.col("id").alias("query_id"), said.alias("query"), "vector", *(facet.get(f, F.lit("")).alias(f"filter_{f}") for f in search.FACETS))
+    best = search.fused(search.ranked_lists(chunks, asked, search.POOL * search.OVERFETCH), "id", search.POOL, ["query_id"])
+    return best.select("query_id", "id", F.round("score", 9).alias("score"), F.round("distance", 4).alias("distance"), "place")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of queries through the whole of retrieval."""
     return hybrid_context(spark, sf_dir)

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from stratadoc import config, schema
@@ -136,3 +137,25 @@ def test_plans_read_only_what_they_need(spark, tmp_path):
     assert "vector" not in plan
     plan = search.facet_filter(df, agency="A")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(agency,A)" in plan
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(30)] + [(100 + i, [float(i), 0.0, 0.0]) for i in range(5)] + [(200, None), (201, []), (202, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>").repartition(3)
+    got = search.nearest_to_each(df, df.filter("vec_id in (3, 101, 200)"), 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(3, 1, 2), (3, 2, 4), (101, 1, 100), (101, 2, 102)]
+
+
+def test_blocks_of_queries_give_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.integers(0, 3, 4).astype(float).tolist(), "ab"[i % 2]) for i in range(300)], "vec_id int, embedding array<float>, state string")
+    asked = df.filter("vec_id % 4 = 0").withColumn("filter_state", F.when(F.col("vec_id") % 8 == 0, "a").otherwise("")).drop("state").withColumnRenamed("vec_id", "q")
+    one, many = (sorted(map(tuple, search.nearest_to_each(df, asked, 3, "embedding", "vec_id", "q", ("state",), block).collect())) for block in (4096, 10))
+    assert one == many and len(one) == 225 and all(v % 2 == 0 for q, v, *_ in one if q % 8 == 0)
+
+
+def test_full_text_within_facets(spark):
+    texts = spark.createDataFrame([("a", "wall wall pipe", "EPA"), ("b", "wall", "OSHA"), ("c", "pipe", "OSHA")], "id string, text string, agency string")
+    asked = spark.createDataFrame([(1, "wall", "OSHA"), (2, "wall", "")], "query_id int, query string, filter_agency string")
+    got = search.bm25(search.postings(texts, "id", "text", ("agency",)), asked, "id", 5, facets=("agency",)).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(1, "b"), (2, "a"), (2, "b")]
