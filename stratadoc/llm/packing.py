@@ -2,8 +2,8 @@
 
 The plan is made on the histogram (one count per length up to the capacity, so bounded whatever the
 number of texts): patterns of lengths that fill a container, each with the number of times it is used.
-Texts then find their container by their rank among the texts of equal length, without any of them
-being gathered in one place.
+Texts then find their container by their rank among the texts of equal length, in one sorted pass and
+without any of them being gathered in one place.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratadoc.session import cut
@@ -25,26 +25,32 @@ SIZES = (256, 512, 1024, 2048)
 #: Room that opening one more container costs, in tokens.
 OPENING = 8
 TOKENIZERS = "/opt/tokenizers"
-SALT_ROWS = 200_000
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 @lru_cache(maxsize=2)
-def encoding(folder: str):
-    """The public 50k byte-level vocabulary of ``folder``."""
+def encoding(vocabulary: bytes):
+    """The encoder of a public byte-level vocabulary, from the contents of its file."""
     import tiktoken
 
-    with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     # fixed value: the split pattern published with this vocabulary
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     return tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def vocabulary(folder: str = TOKENIZERS) -> bytes:
+    with open(f"{folder}/{VOCABULARY}", "rb") as f:
+        return f.read()
+
+
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """``(doc_id, n_tokens)``; null and empty texts have 0 tokens."""
+    """``(doc_id, n_tokens)``; null and empty texts have 0 tokens. The driver reads the vocabulary, about a
+    megabyte, and sends it to the workers."""
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary(folder))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(folder).encode_ordinary
+        encode = encoding(sent.value).encode_ordinary
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -63,21 +69,30 @@ WAYS = ("longest", "exact", "sums")
 
 def _fill(room: int, counts: np.ndarray, way: str) -> list[int]:
     """Lengths still in ``counts`` for ``room``; of equal sums the one with the longest lengths."""
-    if room <= 0:
-        return []
-    if counts[room] > 0:
-        return [room]
-    if way != "longest":
-        a = np.arange(1, room // 2 + 1)
-        pair = a[(counts[a] > 0) & (counts[room - a] > np.where(2 * a == room, 1, 0))]
-        if len(pair):
-            return [room - int(pair[-1]), int(pair[-1])]
-    lengths = np.flatnonzero(counts[: room + 1] > 0).tolist()
-    if way != "sums" and lengths:
-        counts[lengths[-1]] -= 1
-        rest = _fill(room - lengths[-1], counts, way)
-        counts[lengths[-1]] += 1
-        return [lengths[-1], *rest]
+    left, out = counts[: room + 1].copy(), []
+    while room > 0:
+        if left[room] > 0:
+            return [*out, room]
+        if way != "longest":
+            a = np.arange(1, room // 2 + 1)
+            pair = a[(left[a] > 0) & (left[room - a] > np.where(2 * a == room, 1, 0))]
+            if len(pair):
+                return [*out, room - int(pair[-1]), int(pair[-1])]
+        lengths = np.flatnonzero(left[: room + 1] > 0)
+        if not len(lengths):
+            return out
+        if way == "sums":
+            return [*out, *_best_sum(room, lengths.tolist())]
+        n = int(lengths[-1])
+        times = min(int(left[n]), room // n) if way == "longest" else 1
+        out += [n] * times
+        left[n] -= times
+        room -= n * times
+    return out
+
+
+def _best_sum(room: int, lengths: list[int]) -> list[int]:
+    """Different lengths with the largest sum up to ``room``."""
     within = (1 << (room + 1)) - 1
     sums = [1]  # bit s of sums[i]: the first i lengths can make the sum s
     for n in lengths:
@@ -139,21 +154,25 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, sizes: tuple[int, ...]
 
     A text is split only if it alone exceeds ``capacity``: into parts of ``capacity`` tokens and the rest,
     numbered from 0. Texts without tokens (null, empty) take no room and go to container 0. Repeated rows
-    are packed each on its own; equal lengths are taken in order of ``doc_id``, nulls first. Other columns
-    are ignored; an empty table gives an empty result. ``container_size`` is the smallest permitted length
-    that holds the container's contents.
+    are packed each on its own; equal lengths are taken in order of ``doc_id``, nulls first, whatever the
+    number of texts. Other columns are ignored; an empty table gives an empty result. ``container_size`` is
+    the smallest permitted length that holds the container's contents.
+
+    Items are sorted over all partitions by length and id; the driver gets a count for each length and
+    partition, at most ``capacity`` more than there are partitions, since each follows the one before.
     """
     counted = token_counts(documents, folder)
     full = F.floor(F.col("n_tokens") / capacity).cast("int")
     rest = F.col("n_tokens") % capacity
     lengths = F.concat(F.array_repeat(F.lit(capacity).cast("long"), full), F.when((rest > 0) | (full == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     items = cut(counted.select("doc_id", F.posexplode(lengths).alias("part", "n_tokens")))
-    salts = max(1, items.count() // SALT_ROWS)
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)))
-    groups = items.groupBy("n_tokens", "salt").count()
-    before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("n_tokens", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    histogram = {r["n_tokens"]: r["k"] for r in groups.groupBy("n_tokens").agg(F.sum("count").alias("k")).collect()}
+    order = ["n_tokens", "doc_id", "part"]
+    items = cut(items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
+    offsets: dict[tuple[int, int], int] = {}
+    histogram: dict[int, int] = {}
+    for r in items.groupBy("n_tokens", "pid").count().orderBy("n_tokens", "pid").collect():
+        offsets[r["pid"], r["n_tokens"]] = histogram.get(r["n_tokens"], 0)
+        histogram[r["n_tokens"]] = histogram.get(r["n_tokens"], 0) + r["count"]
     histogram.pop(0, None)
 
     steps, container = [], 0
@@ -173,8 +192,18 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, sizes: tuple[int, ...]
     empty_size = first_size if steps else min({*sizes, capacity})
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = -1, 0  # the length a batch ended with, and how many of it there were
         for batch in batches:
-            n, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            n, pid = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            if not len(n):
+                continue
+            begin = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
+            count = np.diff(np.append(begin, len(n)))
+            base_rank = np.array([offsets[int(pid[i]), int(n[i])] for i in begin], dtype=np.int64)
+            base_rank[0] += done if n[0] == last else 0
+            rank = np.repeat(base_rank - begin, count) + np.arange(len(n))
+            done = int(count[-1]) + (done if len(begin) == 1 and n[0] == last else 0)
+            last = int(n[-1])
             at, big = np.zeros(len(n), dtype=np.int64), np.full(len(n), empty_size)
             some = n > 0
             if some.any():
@@ -186,9 +215,5 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, sizes: tuple[int, ...]
                 names=["doc_id", "part", "n_tokens", "container", "container_size"],
             )
 
-    order = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "part")
-    ranked = items.withColumn("row", F.row_number().over(order)).join(offsets, ["n_tokens", "salt"])
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return ranked.select("doc_id", "part", "n_tokens", (F.col("row") - 1 + F.col("before")).cast("long").alias("rank")).mapInArrow(
-        place, f"doc_id {kind}, part int, n_tokens bigint, container bigint, container_size int"
-    )
+    return items.select("doc_id", "part", "n_tokens", "pid").mapInArrow(place, f"doc_id {kind}, part int, n_tokens bigint, container bigint, container_size int")

@@ -295,7 +295,7 @@ def test_packing(spark):
         held[r.container] = held.get(r.container, 0) + r.n_tokens
         size[r.container] = r.container_size
         parts.setdefault(r.doc_id, []).append(r)
-    encode = packing.encoding(packing.TOKENIZERS).encode_ordinary
+    encode = packing.encoding(packing.vocabulary()).encode_ordinary
     assert all(held[c] <= size[c] for c in held) and set(size.values()) <= set(packing.SIZES)
     for i, t in enumerate(texts):
         n = len(encode(t)) if t else 0
@@ -341,6 +341,22 @@ def test_plan_is_exact_on_any_histogram():
         packing.plan({3000: 1})
 
 
+def test_plan_of_very_short_texts():
+    for histogram in ({1: 5000}, {2: 3000, 2048: 1}, {1: 400_001, 3: 7}):
+        plans = packing.plan(histogram)
+        assert sum(len(content) * times for content, _, times in plans) == sum(histogram.values())
+        assert sum(size * times for _, size, times in plans) < sum(n * k for n, k in histogram.items()) + packing.CAPACITY
+
+
+def test_equal_lengths_are_taken_in_order(spark, monkeypatch):
+    rows = [(i, "a b" if i % 3 else "a") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = sorted((r.n_tokens, r.doc_id, r.container) for r in packing.pack(df).collect())
+    assert len(got) == 9000
+    for (n, _, a), (m, _, b) in zip(got, got[1:]):
+        assert n != m or a <= b
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert [(r.n_tokens, r.container) for r in packing.pack(spark.createDataFrame([(1, None)], "doc_id bigint, text string")).collect()] == [(0, 0)]
