@@ -1,19 +1,18 @@
-"""Near-duplicate texts: improved consistent weighted sampling over weighted word shingles, banded,
-verified by weighted Jaccard and then by the exact set Jaccard.
-
-A shingle weighs ``1 + SPREAD idf / highest idf``, so between 1 and 1.25, and counts once per text. Document
-frequencies are counted over all rows in a hashed table of fixed size. Because of the bounds a set
-Jaccard of at least ``t`` implies a weighted Jaccard of at least ``limit(t)``, which is the limit of the
-first verification and what bands and sketches are made for: a hot text's shared shingles weigh least and
-its edits most, so its pairs come near it. At 1/2 the limit is 0.444; there the bands miss 0.2 % of pairs.
+"""Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, verified by
+weighted Jaccard similarity.
+
+A shingle's weight in a text is the number of times it stands there times its idf, ln(1 + 1/share) for the
+share of texts that hold it. Shingles in fewer than one text of ``1 / RARE`` count as that rare, so the weights
+mean the same in a collection of any size, and the table of the more frequent ones, which is all that is sent
+to the workers, is bounded by the mean number of shingles in a text divided by ``RARE / 2``.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,72 +23,78 @@ from stratadoc.llm.wordscan import MIX_A, U64, Words, mix, runs, slices
 from stratadoc.session import cut
 
 SHINGLE, THRESHOLD = 3, 0.5
+#: Weighted Jaccard from which on pairs are looked at where an exact set Jaccard of ``THRESHOLD`` is asked for.
+LOOSE = 0.4
 #: Bands of ``ROWS`` samples each; every sample stands in two bands, so there are twice as many.
 BANDS, ROWS = 40, 3
-#: The weights of shingles lie between 1 and 1 + SPREAD.
-SPREAD = 0.25
-CELL_BITS, BLOCK = 20, 1 << 14
+#: Share of texts below which all shingles count as equally rare.
+RARE = 1 / 1024
 PARAM_BITS = 16
-SLICE = 1 << 21
+SLICE, COUNTED = 1 << 21, 1 << 24
 SKETCH = ("s1", "s2", "s3", "s4")
 
 
-def limit(threshold: float) -> float:
-    """The least weighted Jaccard of two sets whose Jaccard is ``threshold``."""
-    return threshold / (threshold + (1 + SPREAD) * (1 - threshold))
+class Shares(NamedTuple):
+    """Hashes of the shingles that are not rare, in order, and the share of texts that hold each."""
+
+    hash: np.ndarray
+    share: np.ndarray
+
+    def idf(self, h: np.ndarray) -> np.ndarray:
+        """ln(1 + 1/share) of each shingle."""
+        share = np.full(len(h), RARE)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            share = np.where(self.hash[at] == h, np.maximum(self.share[at], RARE), RARE)
+        return np.log1p(1 / share)
 
 
-def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, in order of text and hash, and the numbers of the texts."""
+def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, in order of text and hash, the numbers of the texts and how often each
+    stands in its text."""
     w = Words(texts, "ascii")
     h, doc = runs(w.hash, w.doc, n)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], doc[new]
-
-
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - CELL_BITS)).astype(np.int64)
+    at = np.flatnonzero(new)
+    return h[at], doc[at], np.diff(np.append(at, len(h)))
 
 
-def document_frequencies(df: DataFrame, text: str, n: int) -> np.ndarray:
-    """Number of rows that hold a shingle of each hash cell, over all rows; the last value counts the rows.
+def document_shares(df: DataFrame, text: str, n: int) -> Shares:
+    """Shares of the shingles that at least one row of ``1 / RARE`` holds, counted over all rows.
 
-    Each partition sends its counts in compressed blocks, which are added up by block; the driver gets one
-    table of ``2**CELL_BITS`` counts, whatever the number of rows.
+    Each task counts its rows in portions of ``COUNTED`` characters and passes on the shingles that more than half
+    that share of the portion's rows hold, which any shingle frequent enough does in some portion; the counts are
+    added up by hash with map-side combination. So a share is too small by ``RARE / 2`` at most, and what the
+    driver gets is bounded whatever the number of rows.
     """
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << CELL_BITS, dtype=np.int64), 0
+    def portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = size = 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            rows += len(texts)
             for lo, hi in slices(texts, SLICE):
-                total += np.bincount(_cell(shingles(texts[lo:hi], n)[0]), minlength=1 << CELL_BITS)
-        parts = [*total.reshape(-1, BLOCK), np.array([rows])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-            names=["block", "counts"],
-        )
-
-    def add(key, table):
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), dtype=np.int64) for x in table.column("counts"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    kind = "block int, counts binary"
-    rows = df.select(text).mapInArrow(count, kind).groupBy("block").applyInArrow(add, kind).collect()
-    by = {r.block: np.frombuffer(zlib.decompress(bytes(r.counts)), dtype=np.int64) for r in rows}
-    cells = (1 << CELL_BITS) // BLOCK
-    return np.concatenate([by.get(b, np.zeros(BLOCK if b < cells else 1, dtype=np.int64)) for b in range(cells + 1)])
-
-
-def weights(frequencies: np.ndarray) -> np.ndarray:
-    """Weight of each hash cell, between 1 and 1 + SPREAD."""
-    rows = max(2, int(frequencies[-1]))
-    idf = np.log(rows / np.clip(frequencies[:-1], 1, rows))
-    return (1 + SPREAD * idf / math.log(rows)).astype(np.float32)
+                held.append(shingles(texts[lo:hi], n)[0])
+                rows += hi - lo
+                size += sum(map(len, texts[lo:hi]))
+                if size >= COUNTED:
+                    yield counted(held, rows)
+                    held, rows, size = [], 0, 0
+        if rows:
+            yield counted(held, rows)
+
+    def counted(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        h, count = np.unique(np.concatenate(held), return_counts=True)
+        often = count > rows * RARE / 2
+        return pa.RecordBatch.from_arrays([_signed(np.append(h[often], U64(0))), pa.array(np.append(count[often], rows)), pa.array(np.append(np.zeros(often.sum(), dtype=bool), True))], names=["h", "n", "total"])
+
+    counts = cut(df.select(text).mapInArrow(portions, "h bigint, n bigint, total boolean").groupBy("total", "h").agg(F.sum("n").alias("n")))
+    rows = (counts.filter("total").first() or {"n": 0})["n"]
+    often = counts.filter(~F.col("total") & (F.col("n") > rows * RARE / 2)).select("h", "n").orderBy(F.col("h") < 0, "h").toArrow()
+    return Shares(often.column(0).to_numpy().view(U64), often.column(1).to_numpy() / max(rows, 1))
 
 
 @lru_cache(maxsize=1)
@@ -101,12 +106,13 @@ def _draws() -> np.ndarray:
     return np.stack([1 / r, beta, np.log(c) - r + r * beta, r], axis=1)
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, doc: np.ndarray, times: np.ndarray, shares: Shares, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """Consistent weighted samples: a row of ``hashes`` values for each text that has shingles, and the
     texts' numbers. The smallest ln a of a text depends only on the sampled shingle and its level, so its
     bits stand for the sample; a trace of the hash tells shingles apart that share their draws."""
-    distinct, back = np.unique(h, return_inverse=True)
-    log_weight = np.log(weight[_cell(distinct)].astype(np.float64))
+    _, one, back = np.unique(h + mix(times.astype(U64)), return_index=True, return_inverse=True)
+    distinct = h[one]
+    log_weight = np.log(shares.idf(distinct) * times[one])
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     out = []
     draws = _draws()
@@ -122,11 +128,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sketch_rows(df: DataFrame, key: str, text: str, frequencies: np.ndarray, n: int, bands: int, rows: int) -> DataFrame:
+def sketch_rows(df: DataFrame, key: str, text: str, shares: Shares, n: int, bands: int, rows: int) -> DataFrame:
     """``(id, k1, k2, s1..s4, bands)``: for each text with shingles the 128-bit key of its shingle set, a
     sketch of two bits of each of its samples and its band keys, ``2 * bands``: of samples next to one
     another, and of samples ``bands`` apart. Two bands share at most one sample. ``k1`` also numbers the set."""
-    sent = df.sparkSession.sparkContext.broadcast(weights(frequencies))
+    sent = df.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = U64(1) << (np.arange(bands * rows, dtype=U64) % U64(64))
@@ -134,10 +140,10 @@ def sketch_rows(df: DataFrame, key: str, text: str, frequencies: np.ndarray, n:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices(texts, SLICE):
-                h, doc = shingles(texts[lo:hi], n)
+                h, doc, times = shingles(texts[lo:hi], n)
                 if not len(h):
                     continue
-                sign, which = signatures(h, doc, sent.value, bands * rows)
+                sign, which = signatures(h, doc, times, sent.value, bands * rows)
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 k1, k2 = mix(np.add.reduceat(h, first)), mix(np.add.reduceat(mix(h ^ MIX_A), first))
                 ones = [((sign >> U64(place)) & U64(1)) * bit for place in (0, 1)]
@@ -162,37 +168,38 @@ def _differ(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
 
 
-def most_differing(hashes: int, similarity: float, deviations: float = 3.5) -> int:
+def most_differing(hashes: int, similarity: float, deviations: float = 3.0) -> int:
     """Bits in which two sketches of pairs of this weighted Jaccard differ at most, but for so many
     standard deviations: a sample that is not shared differs in 0, 1 or 2 of its bits."""
     apart = 1 - similarity
     return math.ceil(hashes * apart + deviations * math.sqrt(hashes * apart * (0.5 + similarity)))
 
 
-def verified(pairs: DataFrame, frequencies: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """Those of ``(ka, kb, text_a, text_b)`` whose weighted Jaccard reaches the limit implied by
-    ``threshold`` and whose exact Jaccard reaches ``threshold``, with both."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights(frequencies))
+def verified(pairs: DataFrame, shares: Shares, n: int, threshold: float, exact: float | None = None) -> DataFrame:
+    """Those of ``(ka, kb, text_a, text_b)`` whose weighted Jaccard reaches ``threshold`` and, if ``exact`` is
+    given, whose Jaccard as sets of shingles reaches that, with both."""
+    sent = pairs.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
             for lo, hi in slices([x + y for x, y in zip(a, b)], SLICE):
                 m = hi - lo
-                h, doc = shingles([*a[lo:hi], *b[lo:hi]], n)
+                h, doc, times = shingles([*a[lo:hi], *b[lo:hi]], n)
                 pair = doc % m
                 order = np.lexsort((h, pair))
-                h, pair = h[order], pair[order]
-                twice = np.zeros(len(h), dtype=bool)
-                twice[1:] = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
-                w = sent.value[_cell(h)].astype(np.float64)
-                total, common = (np.bincount(pair, x, minlength=m) for x in (np.ones(len(h)), twice))
-                heavy, shared = (np.bincount(pair, x, minlength=m) for x in (w, w * twice))
-                exact = common / np.maximum(total - common, 1)
-                weighted = shared / np.maximum(heavy - shared, 1e-9)
-                keep = np.flatnonzero((weighted >= limit(threshold) - 1e-6) & (exact >= threshold))
+                h, pair, times = h[order], pair[order], times[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])
+                at = np.flatnonzero(new)
+                idf, of = sent.value.idf(h[at]), pair[at]
+                both = np.diff(np.append(at, len(h))) == 2
+                sums = [np.bincount(of, x, minlength=m) for x in (both, idf * np.maximum.reduceat(times, at), idf * np.where(both, np.minimum.reduceat(times, at), 0))] if len(at) else [np.zeros(m)] * 3
+                jaccard = sums[0] / np.maximum(np.bincount(of, minlength=m), 1)
+                weighted = sums[2] / np.maximum(sums[1], 1e-12)
+                keep = np.flatnonzero((weighted >= threshold - 1e-9) & (jaccard >= (exact or 0)))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(pa.array(keep + lo)) for i in (0, 1)), pa.array(exact[keep]), pa.array(weighted[keep])],
+                    [*(batch.column(i).take(pa.array(keep + lo)) for i in (0, 1)), pa.array(jaccard[keep]), pa.array(weighted[keep])],
                     names=["ka", "kb", "jaccard", "weighted_jaccard"],
                 )
 
@@ -200,30 +207,32 @@ def verified(pairs: DataFrame, frequencies: np.ndarray, n: int, threshold: float
 
 
 class NearDuplicates:
-    """Links between texts of ``df`` whose sets of ``n``-word shingles have a Jaccard of ``threshold`` or more.
+    """Links between texts of ``df`` whose weighted Jaccard over TF-IDF shingles of ``n`` words is ``threshold`` or
+    more and, if ``exact`` is given, whose Jaccard as sets of shingles is at least that.
 
     ``members`` is ``(id, k1)``: each id once with the number of its shingle set; ``links`` is
     ``(ka, kb, jaccard, weighted_jaccard)`` between different sets. Null, empty and shorter texts have no
     shingles and take no part. Rows repeated under one id count once; where their texts differ the id
     belongs to each of their sets. Null ids are dropped. Other columns are ignored; an empty table gives
-    empty results.
+    empty results. Texts of one shingle set are one member, the one of the smallest id stands for it.
 
     Candidates come from a self-join on band keys; a pair is passed on only where the two sketches differ
-    in at most as many bits as those of pairs at ``limit(threshold)`` do (``most_differing``), so that
-    a band key many unlike texts share sends next to nothing. Equal sets are joined as one, so copies never meet in a band.
+    in at most as many bits as those of pairs at ``threshold`` do (``most_differing``), so that
+    a band key many unlike texts share sends next to nothing. Equal sets are joined as one, so copies never
+    meet in a band; a band that many different texts share is split by the skew join of the adaptive plan.
     """
 
-    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, exact: float | None = None, bands: int = BANDS, rows: int = ROWS):
         if not 0 < threshold <= 1 or bands * rows > 128:
             raise ValueError("threshold must be in (0, 1], bands * rows at most 128")
         df = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-        self.frequencies = document_frequencies(df, text, n)
-        sketched = cut(sketch_rows(df, key, text, self.frequencies, n, bands, rows))
+        self.shares = document_shares(df, text, n)
+        sketched = cut(sketch_rows(df, key, text, self.shares, n, bands, rows))
         self.members = sketched.select("id", "k1").distinct()
         sets = sketched.groupBy("k1").agg(F.min_by(F.struct("id", *SKETCH, "bands"), "id").alias("x")).select("k1", "x.*")
         self.sets = sets
         banded = sets.select("k1", *SKETCH, F.explode("bands").alias("band"))
-        most = most_differing(bands * rows, limit(threshold))
+        most = most_differing(bands * rows, threshold)
         a, b = banded.alias("a"), banded.alias("b")
         pairs = (
             a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k1") < F.col("b.k1")) & (_differ("a", "b") <= most))
@@ -237,10 +246,11 @@ class NearDuplicates:
         )
         texts = cut(texts)
         both = pairs.join(texts.toDF("ka", "text_a"), "ka").join(texts.toDF("kb", "text_b"), "kb")
-        self.links = cut(verified(both, self.frequencies, n, threshold))
+        self.links = cut(verified(both, self.shares, n, threshold, exact))
 
     def pairs(self) -> DataFrame:
-        """``(id_a, id_b, jaccard, weighted_jaccard)``, id_a < id_b: the links between ids, copies included."""
+        """``(id_a, id_b, jaccard, weighted_jaccard)``, id_a < id_b: the links between ids, copies included, so m
+        copies give m(m - 1)/2 rows. Where copies are many, take ``groups``, which is one row an id."""
         m = self.members
         linked = self.links.join(m.toDF("x", "ka"), "ka").join(m.toDF("y", "kb"), "kb").select("x", "y", "jaccard", "weighted_jaccard")
         same = m.toDF("x", "k1").join(m.toDF("y", "k1"), "k1").filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("weighted_jaccard"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.llm.knn_perm import most_similar, neighbour_pairs
 from stratadoc.llm.leak_search import leaks
-from stratadoc.llm.neardup import NearDuplicates
+from stratadoc.llm.neardup import LOOSE, THRESHOLD, NearDuplicates
 from stratadoc.llm.packing import pack
 from stratadoc.llm.page_repair import PageRepair
 from stratadoc.llm.pair_defects import defective_pairs
@@ -16,7 +16,7 @@ from stratadoc.session import table
 
 
 def p1_found(spark, sf_dir):
-    return NearDuplicates(table(spark, sf_dir, "chunks")).pairs().select("id_a", "id_b")
+    return NearDuplicates(table(spark, sf_dir, "chunks"), threshold=LOOSE, exact=THRESHOLD).pairs().select("id_a", "id_b")
 
 
 def p1_groups(spark, sf_dir):
