@@ -198,6 +198,9 @@ def test_defects(spark):
         220: ("What is the depth of the wall?", "WHAT IS THE DEPTH OF THE WALL?", "echo"), 221: ("What is the depth of the wall?", "The question is: \"what is the depth of the wall\"", "echo"),
         230: ("What is the depth of the wall?", spanish[0][2], "language"), 240: ("What is the depth of the wall?", "- The depth of the wall is 5 mm along both edges.\n- The lane shall be", "truncated"), 241: ("What is it?", "- The depth of the wall is 5 mm.\n^^^1^^", "truncated"),
         250: ("Respond in Spanish. What is the depth?", spanish[0][2], None), 251: ("Can it be sealed?", "Yes.", None), 252: ("What is the depth of the wall?", "- The depth is 3 mm.\n^^^1^^^\nThe provided standards do not address other parts.\n^^^FAIL^^^", None),
+        260: ("What is the slope?", "The slope is 2 percent. Nothing in the documents conflicts with this.", None), 261: ("What is the slope?", "I am sorry the text is long, the slope is 2 percent.", None),
+        262: ("What is the slope?", "It seems best that nobody here tries to respond to such a thing without a survey.", None), 263: ("What is the slope?", "My instructions leave me no way to reply to that one.", "refusal"),
+        264: ("What is the depth of the outer wall?", "what is the outer depth of the wall", "echo"), 265: ("What is the depth of the outer wall?", "The depth of the outer wall is 31 mm.", None),
         256: ("Can it be sealed?", "No.", None), 257: ("What is the depth of the wall?", "> What is the depth of the wall?", "echo"),
         253: (None, SOUND.format(7), None), 254: ("", SOUND.format(7), None), 255: ("What is the depth of the wall?", SOUND.format(7) * 3000, None),
     }
