@@ -1,34 +1,41 @@
 """Noise of scanned pages: where it is, and the text repaired into paragraphs.
 
 A page is taken apart into furniture (running headers, page numbers) and running text. Running text is
-decoded as one stream without line ends: a lattice of its tokens in which a word may be one token, the
-two halves of a hyphenated word, two tokens wrongly split or one token wrongly merged, each exact or
-misread, and the cheapest path wins. Word frequencies come from the blocks that were not scanned, and
-from the scanned ones where nothing more frequent looks alike.
+decoded as one stream of characters without line ends. Words are edges of a lattice between places of the
+stream: a word may end at a blank or within a run of characters (a blank is missing), go on over blanks
+(one too many) or over a line's end with its hyphen, and be printed as it is or with characters taken for
+one another, in any combination; the cheapest path wins. Numbers and labels are read through an automaton
+of their forms, characters again as they are or as the digits they are taken for. Word frequencies come from
+the blocks that were not scanned, and from the scanned ones where nothing more frequent looks alike.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratadoc.operators.ordered import forward_fill
 from stratadoc.session import cut
 
-#: Most words the decoder knows, the most frequent ones.
+#: Words that are sent to every task, the most frequent ones; the others go to the pages they may stand on, by a join.
 VOCABULARY = 200_000
 #: Furniture repeats on at least this share of a file's pages, or of the pages in a stretch of them, and on two.
 REPEATED = 0.1
 #: Pages in a stretch. There are two rows of stretches, one half a stretch later, so neighbours always share one.
 STRETCH = 20
+#: Lines at either end of a page that may be furniture, and the characters a running header is shorter than.
+EDGE_LINES, HEADER_CHARS = 3, 120
+#: Costs of a confused character, of a blank that is missing or too many, and of a number with confused characters.
+CONFUSED, BLANK, NUMBER_COST = 5.0, 8.0, 12.0
 
 # Groups of characters that recognition takes for one another; the first stands for all.
 PAIRS = {"vv": "w", "rn": "m", "ri": "n", "cl": "d", "ii": "u"}
@@ -74,43 +81,89 @@ def one_change(word: str) -> Iterator[str]:
                 yield word[:i] + true + word[i + n :]
 
 
+_REPS = str.maketrans({c: group[0] for group in ALIKE for c in group} | {"h": "b"})
+_REP_PAIR = re.compile("vv|rn|ri|ci|ii")
+_REP_MEANS = {k.translate(_REPS): v.translate(_REPS) for k, v in PAIRS.items()}
+
+
+@lru_cache(maxsize=300_000)
+def look(word: str) -> str:
+    """The same for words that differ by confused characters, any number of them; coarser than ``skeleton``."""
+    word = word.translate(_REPS)
+    while (shorter := _REP_PAIR.sub(lambda m: _REP_MEANS[m.group()], word)) != word:
+        word = shorter
+    return word
+
+
+def confusions(shown: str, true: str, most: int) -> int | None:
+    """The least number of confused runs that make ``true`` look like ``shown``, None if more than ``most``."""
+    row = {0: 0}  # characters of true that are accounted for, and the confusions so far
+    ahead: list[dict[int, int]] = [row] + [{} for _ in shown]
+    for i in range(len(shown)):
+        for j, n in ahead[i].items():
+            if j < len(true) and shown[i] == true[j] and n < ahead[i + 1].get(j + 1, most + 1):
+                ahead[i + 1][j + 1] = n
+            for width in _WIDTHS:
+                for x in MEANT.get(shown[i : i + width], ()) if i + width <= len(shown) else ():
+                    if true.startswith(x, j) and n + 1 < ahead[i + width].get(j + len(x), most + 1):
+                        ahead[i + width][j + len(x)] = n + 1
+    return ahead[len(shown)].get(len(true))
+
+
 class Lexicon:
     """Cost of each known word, and the known word an unknown one is most likely a misreading of.
 
     Words of clean text are known. A word only scans hold is known if it is frequent and no known word
-    that is five times as frequent looks like it.
+    that is five times as frequent looks like it. ``more`` words can be added on top of another lexicon.
     """
 
-    def __init__(self, counts: list[tuple[str, int, int]]):
+    def __init__(self, counts: list[tuple[str, int, int]], base: Lexicon | None = None):
         """``counts``: word, times in clean text, times in scanned text."""
-        self.count = {w: clean for w, clean, _ in counts if clean}
+        own: dict[str, int] = {w: clean for w, clean, _ in counts if clean}
+        self.count = ChainMap(own, base.count) if base else own
         for w, clean, scans in sorted(counts, key=lambda x: (-x[2], x[0])):
             if not clean and scans >= 25 and re.fullmatch(r"[^\W\d_]+(?:-[^\W\d_]+)*", w):
                 if all(self.count.get(x, 0) < 5 * scans and self.count.get(x, 0) < 20 for x in one_change(w)):
-                    self.count[w] = scans
-        total = sum(self.count.values()) + 1
-        self.cost = {w: math.log(total / n) for w, n in self.count.items()}
-        self.unknown = math.log(total) + 6
-        self._meant: dict[str, str | None] = {}
-
-    def meant(self, low: str) -> str | None:
-        """The most frequent known word one change away, else two, else None."""
+                    own[w] = scans
+        self.total = base.total if base else sum(own.values()) + 1
+        cost = {w: math.log(self.total / n) for w, n in own.items()}
+        self.cost = ChainMap(cost, base.cost) if base else cost
+        self.unknown = math.log(self.total) + 6
+        self.least = min([*cost.values(), *([base.least] if base else [])], default=0.0)
+        self.longest = max([*map(len, own), *([base.longest] if base else [])], default=0)
+        self.by_look: dict[str, list[str]] = {}
+        for w in own:
+            if sum(c.isalpha() for c in w) > 1 and not _REFERENCE.fullmatch(w.upper()):
+                self.by_look.setdefault(look(w), []).append(w)
+        self.base = base
+        self._meant: dict[str, tuple[int, str] | None] = {}
+
+    def more(self, counts: list[tuple[str, int, int]]) -> Lexicon:
+        return Lexicon(counts, self)
+
+    def _looking(self, form: str) -> Iterator[str]:
+        yield from self.by_look.get(form, ())
+        if self.base:
+            yield from self.base._looking(form)
+
+    def meant(self, low: str) -> tuple[int, str] | None:
+        """The known word that ``low`` shows with the fewest confusions, of these the most frequent, and their number."""
         if low not in self._meant:
             if len(self._meant) > 300_000:
                 self._meant.clear()
             self._meant[low] = self._search(low)
         return self._meant[low]
 
-    def _search(self, low: str) -> str | None:
-        if not 2 <= len(low) <= 40:
+    def _search(self, low: str) -> tuple[int, str] | None:
+        if len(low) < 2 or len(low) > 2 * self.longest:
             return None
-        near: list[str] = [low]
-        for _ in range(2):
-            near = [x for w in near for x in one_change(w)][:20_000]
-            known = [x for x in near if x in self.count and sum(c.isalpha() for c in x) > 1 and not _REFERENCE.fullmatch(x.upper())]
-            if known:
-                return max(known, key=lambda x: (self.count[x], x))
-        return None
+        near = [x for x in one_change(low) if x in self.count and sum(c.isalpha() for c in x) > 1 and not _REFERENCE.fullmatch(x.upper())]
+        if near:
+            return 1, max(near, key=lambda x: (self.count[x], x))
+        most = max(2, len(low) // 3)
+        forms = {look(low), *(look(x) for x in one_change(low))}
+        found = [(n, -self.count[x], x) for f in forms for x in self._looking(f) if (n := confusions(low, x, most))]
+        return (min(found)[0], min(found)[2]) if found else None
 
     def read(self, word: str) -> tuple[float, str]:
         """Cost of a printed word and the word it stands for (itself where it is known or nothing is near)."""
@@ -119,28 +172,72 @@ class Lexicon:
             return self.cost[low], word
         if _REFERENCE.fullmatch(word):
             return self.unknown - 1, word
-        near = self.meant(low)
-        return (self.cost[near] + 5, near) if near else (self.unknown + 2 * len(low), word)
+        near, new = self.meant(low), self.unknown + 2 * len(low)
+        return min((new, word), (self.cost[near[1]] + CONFUSED * near[0], near[1])) if near else (new, word)
+
+
+class Forms(NamedTuple):
+    """An automaton: from each state the next one by the kind of a character, and the states a form may end in.
+    Kinds are 0 for a digit, A for a capital that is not like a digit, a for a small letter, and signs themselves."""
+
+    steps: dict[str, dict[str, str]]
+    ends: frozenset[str]
+
+
+# The forms of section and other numbers. In the states' names d are digits, h those behind a hyphen, f behind a dot, c a capital.
+_BRACKET = {"(": "open"}
+_TAIL = {"open": {"0": "number", "a": "letter"}, "number": {"0": "number", ")": "closed"}, "closed": _BRACKET, "dot": {"0": "f"}, "f": {"0": "f", ".": "dot", **_BRACKET}, "hyphen": {"0": "h"}, "h": {"0": "h", "-": "hyphen", ".": "dot", **_BRACKET}}
+_MAIN = {"0": "d", "-": "hyphen", ".": "dot", "A": "c", **_BRACKET}
+LABEL_FORMS = Forms(
+    _TAIL | {"": {"0": "d"}, "d": _MAIN, "c": {".": "c dot"}, "c dot": {"0": "c f"}, "c f": {"0": "c f", **_BRACKET}, "letter": {")": "closed", "r": "roman"}, "roman": {")": "closed", "r": "roman"}},
+    frozenset(("d", "h", "f", "c f", "closed")),
+)
+TEXT_FORMS = Forms(
+    _TAIL
+    | {"": {"0": "1", "#": "sign"}, "sign": {"0": "1"}, "1": _MAIN | {"0": "2", ",": "t"}, "2": _MAIN | {"0": "3", ",": "t"}, "3": _MAIN | {"0": "d", ",": "t"}, "d": _MAIN}
+    | {"t": {"0": "t1"}, "t1": {"0": "t2"}, "t2": {"0": "t3"}, "t3": {",": "t", ".": "t dot"}, "t dot": {"0": "t f"}, "t f": {"0": "t f"}}
+    | {"c": {".": "c dot", **_BRACKET}, "c dot": {"0": "c f"}, "c f": {"0": "c f", **_BRACKET}}
+    | {"letter": {"a": "letter 2", ")": "closed"}, "letter 2": {"a": "letter 3", ")": "closed"}, "letter 3": {"a": "letter 4", ")": "closed"}, "letter 4": {")": "closed"}},
+    frozenset(("1", "2", "3", "d", "h", "f", "c", "c f", "closed", "t3", "t f")),
+)
+
+
+def as_number(text: str, forms: Forms) -> tuple[int, str] | None:
+    """The form that ``text`` shows with the fewest characters taken for digits, and their number; None if it is
+    like none. The path through the automaton is found from left to right."""
+    paths: dict[str, tuple[int, str]] = {"": (0, "")}
+    for c in text:
+        after: dict[str, tuple[int, str]] = {}
+        kinds = [("0", c, 0)] if c.isdigit() else [("A", c, 0)] if re.match("[A-HJ-NP-RT-Z]", c) else [("a", c, 0)] if re.match("[a-z]", c) else [(c, c, 0)]
+        if c in "ivx":
+            kinds.append(("r", c, 0))
+        if c in DIGIT_FOR:
+            kinds.append(("0", DIGIT_FOR[c], 1))
+        for state, (n, read) in paths.items():
+            for kind, shown, wrong in kinds:
+                to = forms.steps.get(state, {}).get(kind)
+                if to is None and kind == "a" and c in "ivx":
+                    to = forms.steps.get(state, {}).get("r")
+                if to is not None and (n + wrong, read + shown) < after.get(to, (n + wrong + 1, "")):
+                    after[to] = n + wrong, read + shown
+        paths = after
+    return min((paths[s] for s in paths if s in forms.ends), default=None)
 
 
-def misread_number(token: str, lexicon: Lexicon | None = None) -> str | None:
-    """The number or reference meant by a token with letters in the place of digits, else None."""
+@lru_cache(maxsize=200_000)
+def _number_in(token: str) -> str | None:
     core = token.strip(" .,;:[]\"'“”")
     if core.count("(") != core.count(")"):
         core = core.strip("()")
-    if not core or _REFERENCE.fullmatch(core) or (lexicon and core.lower() in lexicon.cost):
+    if not core or not any(c.isdigit() for c in core) and (not set(core) <= set("lIOoS|") or len(core) < 2 or core in ("OS", "SO", "So", "oS", "Io", "IS", "Is", "ll")):
         return None
-    if not any(c.isdigit() for c in core) and (not set(core) <= set("lIOoS|") or len(core) < 2 or core in ("OS", "SO", "So", "oS", "Io", "IS", "Is", "ll")):
-        return None
-    fixed = re.sub(r"[^\W\d_]|\|", lambda m: DIGIT_FOR.get(m.group(), m.group()), core)
-    if _REFERENCE.fullmatch(fixed):
-        return fixed
-    for m in re.finditer(r"(?<=\d)[A-Z](?=\.)|(?<=\()[a-z]{1,4}(?=\))", core):  # a letter that belongs there
-        kept = fixed[: m.start()] + m.group() + fixed[m.end() :]
-        if kept != core and _REFERENCE.fullmatch(kept):
-            return kept
-    kept = "".join(m.group() if m.group(1) else m.group().translate(_DIGITS) for m in re.finditer(r"((?<=\()[a-z]{1,4}(?=\))|(?<=[\dSlIOo|])[A-HJ-NP-RT-Z](?=\.))|.", core))
-    return kept if kept != core and _REFERENCE.fullmatch(kept) else None
+    read = as_number(core, TEXT_FORMS)
+    return read[1] if read and read[0] else None
+
+
+def misread_number(token: str, lexicon: Lexicon | None = None) -> str | None:
+    """The number or reference meant by a token with letters in the place of digits, else None."""
+    return None if lexicon and token.strip(" .,;:[]\"'“”()").lower() in lexicon.cost else _number_in(token)
 
 
 def is_page_number(line: str, lexicon: Lexicon | None = None) -> bool:
@@ -184,22 +281,22 @@ def _near(a: str, b: str) -> bool:
 
 
 def edge_lines(lines: list[str]) -> list[int]:
-    """Places of the first two and last two lines that are not blank, outermost first at either end."""
+    """Places of the first and last ``EDGE_LINES`` lines that are not blank."""
     at = [i for i, line in enumerate(lines) if line.strip()]
-    return list(dict.fromkeys([*at[:1], *at[-1:], *at[1:2], *at[-2:-1]]))
+    return list(dict.fromkeys([*at[:EDGE_LINES], *at[::-1][:EDGE_LINES]]))
 
 
 def furniture(lines: list[str], headers: list[str], lexicon: Lexicon | None = None) -> dict[int, str]:
     """Places of a page's running headers and page numbers: from the outside in, as long as there are any."""
     at = [i for i, line in enumerate(lines) if line.strip()]
     found: dict[int, str] = {}
-    for side in (at[:3], at[::-1][:3]):
+    for side in (at[:EDGE_LINES], at[::-1][:EDGE_LINES]):
         for i in side:
             if i in found:
                 break
             if is_page_number(lines[i], lexicon) and "page_number" not in [found.get(j) for j in side]:
                 found[i] = "page_number"
-            elif len(lines[i]) < 120 and any(_near(furniture_look(lines[i]), h) for h in headers):
+            elif len(lines[i]) < HEADER_CHARS and any(_near(furniture_look(lines[i]), h) for h in headers):
                 found[i] = "running_header"
             else:
                 break
@@ -245,70 +342,131 @@ class Reading(NamedTuple):
     misread: tuple[int, ...]
 
 
-def decode(tokens: list[Token], lexicon: Lexicon) -> list[Reading]:
-    """The cheapest reading of the token stream, by dynamic programming from left to right."""
-    best: list[tuple[float, int, Reading | None]] = [(0.0, -1, None)] + [(math.inf, -1, None)] * len(tokens)
-
-    def offer(i: int, j: int, cost: float, reading: Reading) -> None:
-        if best[i][0] + cost < best[j][0]:
-            best[j] = (best[i][0] + cost, i, reading)
-
-    parts = [_bare(t.text) for t in tokens]
-    for i, (token, (front, word, back)) in enumerate(zip(tokens, parts)):
-        open_end = token.last and bool(re.search(rf"[^\W_][{HYPHENS}]$", token.text)) and i + 1 < len(tokens)
+#: Letters, and digits that may stand for some.
+_LETTERS = re.compile(r"(?=\d*[^\W\d_])[^\W_]+")
+
+
+class Lattice:
+    """The cheapest path through the words of a character stream. A place is (token, offset in its word), the
+    end of a token and the begin of the next being one place."""
+
+    def __init__(self, tokens: list[Token], lexicon: Lexicon):
+        self.tokens, self.lexicon = tokens, lexicon
+        self.parts = [_bare(t.text) for t in tokens]
+        self.best: list[dict[int, tuple[float, tuple[int, int] | None, Reading | None]]] = [{} for _ in range(len(tokens) + 1)]
+        self.best[0][0] = (0.0, None, None)
+
+    def path(self) -> list[Reading]:
+        for i in range(len(self.tokens)):
+            done: set[int] = set()
+            while todo := self.best[i].keys() - done:
+                k = min(todo)
+                done.add(k)
+                self._from(i, k)
+        out, at = [], (len(self.tokens), 0)
+        while at != (0, 0):
+            _, at, reading = self.best[at[0]][at[1]]
+            out.append(reading)
+        return out[::-1]
+
+    def _offer(self, i: int, k: int, to: tuple[int, int], cost: float, text: str, hyphen: bool = False, misread: tuple[int, ...] = ()) -> None:
+        total, there = self.best[i][k][0] + cost, self.best[to[0]]
+        if to[1] not in there or total < there[to[1]][0]:
+            there[to[1]] = total, (i, k), Reading(text, i, max(i, to[0] - (to[1] == 0)), hyphen, misread)
+
+    def _from(self, i: int, k: int) -> None:
+        """Every word that may begin at a place."""
+        lexicon, token, (front, whole, back) = self.lexicon, self.tokens[i], self.parts[i]
+        word, lead = whole[k:], "" if k else front
         cost, meant = lexicon.read(word) if word else (0.0, word)
-        number = misread_number(token.text, lexicon) if cost > lexicon.unknown else None
-        if cost <= lexicon.unknown and meant == word:  # known as it stands: the usual case
-            offer(i, i + 1, cost, Reading(token.text, i, i, False, ()))
-        elif number:
-            offer(i, i + 1, 12.0, Reading(token.text.replace(token.text.strip(" .,;:[]\"'“”"), number), i, i, False, (i,)))
-        elif meant != word:
-            offer(i, i + 1, cost, Reading(front + _cased(meant, word) + back, i, i, False, (i,)))
+        known = cost <= lexicon.unknown and meant == word
+        if known:
+            self._offer(i, k, (i + 1, 0), cost, lead + word + back)
+        elif number := misread_number(token.text, lexicon) if not k and cost > lexicon.unknown else None:
+            self._offer(i, k, (i + 1, 0), NUMBER_COST, token.text.replace(token.text.strip(" .,;:[]\"'“”"), number), misread=(i,))
+            return
         else:
-            offer(i, i + 1, cost, Reading(token.text, i, i, False, ()))
-            # compounds of known and misread parts
-            pieces = re.split(r"([-/–])", word)
-            if len(pieces) > 1 and all(pieces):
-                read = [lexicon.read(p) if k % 2 == 0 else (1.0, p) for k, p in enumerate(pieces)]
-                if all(c <= lexicon.unknown for c, _ in read):
-                    text = "".join(_cased(m, p) for (_, m), p in zip(read, pieces))
-                    offer(i, i + 1, sum(c for c, _ in read), Reading(front + text + back, i, i, False, (i,) if text != word else ()))
-            for k in range(2, len(word) - 1):  # two words without the blank between them
-                (a, x), (b, y) = lexicon.read(word[:k]), lexicon.read(word[k:])
-                if a <= lexicon.unknown and b <= lexicon.unknown and x == word[:k] and y == word[k:]:
-                    offer(i, i + 1, a + b + 8, Reading(f"{front}{x} {y}{back}", i, i, False, ()))
-        if i + 1 < len(tokens):
-            other = parts[i + 1]
-            if open_end:
-                head = token.text.lstrip(_EDGE).rstrip(HYPHENS)
-                kept = f"{head}-{other[1]}"
-                compound, first_cost, rest_cost = lexicon.cost.get(kept.lower()), lexicon.read(head), lexicon.read(other[1])
-                if compound is None and "-" in head:  # the hyphen of a longer compound
-                    compound = next((c for w, c in ((f"{head}-{other[1].split('-')[0]}".lower(), 9.0),) if w in lexicon.cost), None)
-                joined, whole = lexicon.read(head + other[1])
-                if compound is None and joined > lexicon.unknown and max(first_cost[0], rest_cost[0]) <= lexicon.unknown:
-                    compound = first_cost[0] + rest_cost[0]
-                look = lexicon.meant(kept.lower()) if compound is None and joined > lexicon.unknown else None
-                if look and "-" in look:
-                    compound = lexicon.cost[look] + 5
-                wrong: tuple[int, ...] = ()
-                if whole != head + other[1]:
-                    low, a, b = whole.lower(), head.lower(), other[1].lower()
-                    wrong = tuple(k for k, bad in ((i, not low.startswith(a)), (i + 1, not low.endswith(b))) if bad) or (i,)
-                if compound is not None and compound <= joined:
-                    offer(i, i + 2, compound, Reading(front + kept + other[2], i, i + 1, False, ()))
-                else:
-                    offer(i, i + 2, min(joined, 2 * lexicon.unknown), Reading(front + _cased(whole, head) + other[2], i, i + 1, True, wrong))
-            elif word and other[1] and not back and not other[0] and (cost > lexicon.unknown or lexicon.read(other[1])[0] > lexicon.unknown):
-                joined, whole = lexicon.read(word + other[1])  # a word with a blank in it
-                if joined <= lexicon.unknown and whole == word + other[1]:
-                    offer(i, i + 2, joined + 8, Reading(front + whole + other[2], i, i + 1, False, ()))
-    path, at = [], len(tokens)
-    while at > 0:
-        _, before, reading = best[at]
-        path.append(reading)
-        at = before
-    return path[::-1]
+            self._offer(i, k, (i + 1, 0), cost, lead + _cased(meant, word) + back, misread=(i,) if meant != word else ())
+            if meant == word and not k:
+                self._compound(i, front, word, back)
+        if not known or cost > BLANK + 2 * lexicon.least:  # else no two words for it can be cheaper
+            self._within(i, k, lead, word, known or meant != word)
+        if i + 1 < len(self.tokens):
+            if token.last and re.search(rf"[^\W_][{HYPHENS}]$", token.text):
+                self._over_line_end(i, k, lead)
+            elif _LETTERS.fullmatch(word) and not back:
+                self._over_blanks(i, k, lead, word, cost, known)
+
+    def _within(self, i: int, k: int, lead: str, word: str, readable: bool) -> None:
+        """Words that end where a blank is missing. Confused ones only where the whole cannot be read."""
+        if not _LETTERS.fullmatch(word) or len(word) > 4 * self.lexicon.longest:
+            return
+        for m in range(2, min(len(word) - 1, self.lexicon.longest + 2)):
+            cost, meant = self.lexicon.read(word[:m])
+            if cost <= self.lexicon.unknown and (meant == word[:m] or (not readable and m >= 4)):
+                self._offer(i, k, (i, k + m), cost + BLANK, lead + _cased(meant, word[:m]), misread=(i,) if meant != word[:m] else ())
+
+    def _over_blanks(self, i: int, k: int, lead: str, word: str, cost: float, known: bool) -> None:
+        """Words that go on over one blank or several, as far as known words reach."""
+        apart, joined, sound, j = cost, word, known, i + 1
+        while j < len(self.tokens) and not self.parts[j][0] and self.parts[j][1] and len(joined) + len(self.parts[j][1]) <= self.lexicon.longest + 1:
+            rest = self.parts[j][1]
+            own, meant = self.lexicon.read(rest)
+            sound, apart, joined = sound and own <= self.lexicon.unknown and meant == rest, apart + own, joined + rest
+            low = joined.lower()
+            if low in self.lexicon.cost:
+                self._offer(i, k, (j + 1, 0), self.lexicon.cost[low] + BLANK * (j - i), lead + joined + self.parts[j][2])
+            elif not sound and apart > BLANK * (j - i) + CONFUSED + self.lexicon.least and len(joined) >= 5 and _LETTERS.fullmatch(joined) and (near := self.lexicon.meant(low)):
+                wrong = self._wrong(near[1], [(x, self.parts[x][1][k if x == i else 0 :]) for x in range(i, j + 1)])
+                self._offer(i, k, (j + 1, 0), self.lexicon.cost[near[1]] + CONFUSED * near[0] + BLANK * (j - i), lead + _cased(near[1], joined) + self.parts[j][2], misread=wrong)
+            if self.parts[j][2] or self.tokens[j].last and self.tokens[j].text[-1:] in HYPHENS:
+                break
+            j += 1
+
+    @staticmethod
+    def _wrong(meant: str, pieces: list[tuple[int, str]]) -> tuple[int, ...]:
+        """Those of the printed pieces of a word that are not as they should be."""
+        low = meant.lower()
+        bad = tuple(x for n, (x, p) in enumerate(pieces) if not (low.startswith(p.lower()) if n == 0 else low.endswith(p.lower()) if n == len(pieces) - 1 else p.lower() in low))
+        return bad or (pieces[0][0],)
+
+    def _over_line_end(self, i: int, k: int, lead: str) -> None:
+        """A word cut in two at a line's end, or a compound whose hyphen stands there."""
+        lexicon, (_, other, back) = self.lexicon, self.parts[i + 1]
+        head = self.tokens[i].text.lstrip(_EDGE)[k:].rstrip(HYPHENS)
+        kept = f"{head}-{other}"
+        compound, first, rest = lexicon.cost.get(kept.lower()), lexicon.read(head)[0], lexicon.read(other)[0]
+        if compound is None and "-" in head and f"{head}-{other.split('-')[0]}".lower() in lexicon.cost:  # the hyphen of a longer compound
+            compound = 9.0
+        joined, whole = lexicon.read(head + other)
+        if compound is None and joined > lexicon.unknown and max(first, rest) <= lexicon.unknown:
+            compound = first + rest
+        near = lexicon.meant(kept.lower()) if compound is None and joined > lexicon.unknown else None
+        if near and "-" in near[1]:
+            compound = lexicon.cost[near[1]] + CONFUSED * near[0]
+        wrong = self._wrong(whole, [(i, head), (i + 1, other)]) if whole != head + other else ()
+        if compound is not None and compound <= joined:
+            self._offer(i, k, (i + 2, 0), compound, lead + kept + back)
+        else:
+            self._offer(i, k, (i + 2, 0), min(joined, 2 * lexicon.unknown), lead + _cased(whole, head) + back, True, wrong)
+            if joined > lexicon.unknown and other.isalpha():  # the blank behind the rest is missing too
+                for m in range(2, len(other) - 1):
+                    if (low := (head + other[:m]).lower()) in lexicon.cost:
+                        self._offer(i, k, (i + 1, m), lexicon.cost[low] + BLANK, lead + head + other[:m], True)
+
+    def _compound(self, i: int, front: str, word: str, back: str) -> None:
+        """Known and misread words with hyphens or slashes between them."""
+        pieces = re.split(r"([-/–])", word)
+        if len(pieces) > 1 and all(pieces):
+            read = [self.lexicon.read(p) if n % 2 == 0 else (1.0, p) for n, p in enumerate(pieces)]
+            if all(c <= self.lexicon.unknown for c, _ in read):
+                text = "".join(_cased(m, p) for (_, m), p in zip(read, pieces))
+                self._offer(i, 0, (i + 1, 0), sum(c for c, _ in read), front + text + back, misread=(i,) if text != word else ())
+
+
+def decode(tokens: list[Token], lexicon: Lexicon) -> list[Reading]:
+    """The cheapest reading of the token stream."""
+    return Lattice(tokens, lexicon).path()
 
 
 class Edges(NamedTuple):
@@ -379,11 +537,13 @@ def paragraphs(starts: set[int], readings: list[Reading], tokens: list[Token]) -
     out: list[list[str]] = []
     if starts and tokens and tokens[0].line < 0 and (not readings or any(min(starts) < x <= tokens[readings[0].first].line for x in starts)):
         out.append([])
+    before = -1
     for r in readings:
         line = tokens[r.first].line
-        if not out or (line in starts and r.first and tokens[r.first - 1].line != line):
+        if not out or (line in starts and r.first != before and r.first and tokens[r.first - 1].line != line):
             out.append([])
         out[-1].append(r.text)
+        before = r.first
     return [" ".join(p) for p in out]
 
 
@@ -392,8 +552,9 @@ def scanned(font_size: Column, font_name: Column) -> Column:
     return F.coalesce((font_size == 0) | (F.trim(font_name) == ""), F.lit(False))
 
 
-def lexicon_of(blocks: DataFrame, vocabulary: int = VOCABULARY) -> Lexicon:
-    """Word counts over all blocks, clean and scanned apart; the driver gets the ``vocabulary`` most frequent words."""
+def lexicon_of(blocks: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Lexicon, DataFrame | None]:
+    """Word counts over all blocks, clean and scanned apart: the ``vocabulary`` most frequent words as a lexicon, and
+    ``(word, clean, scanned)`` of the rest, None if there is none."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[tuple[str, bool]] = Counter()
@@ -401,7 +562,7 @@ def lexicon_of(blocks: DataFrame, vocabulary: int = VOCABULARY) -> Lexicon:
             for text, poor in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if poor:  # without the halves of cut words
                     text = re.sub(rf"\S+[{HYPHENS}]\s*\n\s*\S+|^\S+|\S+$", " ", text or "")
-                total.update((w.lower(), poor) for t in (text or "").split() if (w := t.strip(_EDGE)) and len(w) <= 60)
+                total.update((w.lower(), poor) for t in (text or "").split() if (w := t.strip(_EDGE)))
             if len(total) > 400_000:
                 yield flush(total)
                 total.clear()
@@ -420,8 +581,40 @@ def lexicon_of(blocks: DataFrame, vocabulary: int = VOCABULARY) -> Lexicon:
     kind = scanned(F.col("font_size"), F.col("font_name")).alias("poor")
     counts = blocks.select("text", kind).mapInArrow(count, "word string, clean bigint, scanned bigint")
     counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
-    top = counts.filter("clean > 0 or scanned >= 25").orderBy(F.desc("clean"), F.desc("scanned"), "word").limit(vocabulary).collect()
-    return Lexicon([(r.word, r.clean, r.scanned) for r in top])
+    counts = cut(counts.filter("clean > 0 or scanned >= 25"))
+    times = F.col("clean") + F.col("scanned")
+    top = counts.orderBy(times.desc(), "word").limit(vocabulary + 1).collect()
+    lexicon = Lexicon([(r.word, r.clean, r.scanned) for r in top[:vocabulary]])
+    if len(top) <= vocabulary:
+        return lexicon, None
+    least = top[vocabulary - 1]
+    return lexicon, counts.filter((times < least.clean + least.scanned) | ((times == least.clean + least.scanned) & (F.col("word") > least.word)))
+
+
+def rarer_words(pages: DataFrame, lexicon: Broadcast, rest: DataFrame) -> DataFrame:
+    """``(block_id, more)``: for each page the words beyond the lexicon that look like one it does not know, with
+    their counts. Words and pages meet by ``look``, so words of any rank are known where they are needed."""
+
+    def unknown(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lexicon.value.cost
+        for batch in batches:
+            at, forms = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                tokens = [t.strip(_EDGE) for t in (text or "").split()]
+                cut_words = [a.rstrip(HYPHENS) + b for a, b in zip(tokens, tokens[1:]) if a[-1:] and a[-1] in HYPHENS]
+                new = {look(w) for t in (*tokens, *cut_words) if (w := t.lower()) and w not in known}
+                at += [i] * len(new)
+                forms += new
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(forms, pa.string())], names=["block_id", "form"])
+
+    def looks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([look(w) for w in batch.column(0).to_pylist()], pa.string())], names=["word", "clean", "scanned", "form"])
+
+    key = pages.schema["block_id"].dataType.simpleString()
+    asked = pages.select("block_id", "text").mapInArrow(unknown, f"block_id {key}, form string")
+    words = rest.select("word", "clean", "scanned").mapInArrow(looks, "word string, clean bigint, scanned bigint, form string")
+    return asked.join(words, "form").groupBy("block_id").agg(F.collect_set(F.struct("word", "clean", "scanned")).alias("more"))
 
 
 def running_headers(pages: DataFrame, share: float = REPEATED) -> DataFrame:
@@ -437,7 +630,7 @@ def running_headers(pages: DataFrame, share: float = REPEATED) -> DataFrame:
                 seen = {""}
                 for k in edge_lines(lines):
                     x = furniture_look(lines[k])
-                    if x not in seen and len(lines[k]) < 120 and not is_page_number(lines[k]) and lines[k].rstrip()[-1:] not in ".,;":
+                    if x not in seen and len(lines[k]) < HEADER_CHARS and not is_page_number(lines[k]) and lines[k].rstrip()[-1:] not in ".,;":
                         seen.add(x)
                         at.append(i)
                         look.append(x)
@@ -485,7 +678,7 @@ def page_rows(blocks: DataFrame, headers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(opens, pa.string()), pa.array(closes, pa.string())], names=["source_file", "page", "opens", "closes"])
 
     edge = pages.select("source_file", "page", "text", "headers").mapInArrow(edges, EDGE_TOKENS)
-    edge = edge.groupBy("source_file", "page").agg(F.min("opens").alias("opens"), F.min("closes").alias("closes"))
+    edge = cut(edge.groupBy("source_file", "page").agg(F.min("opens").alias("opens"), F.min("closes").alias("closes")))
     after = edge.filter("opens is not null").select("source_file", (F.col("page") - 1).alias("page"), F.col("opens").alias("rest"))
     before = edge.filter("closes is not null").select("source_file", (F.col("page") + 1).alias("page"), F.col("closes").alias("begun"))
     return pages.join(after, ["source_file", "page"], "left").join(before, ["source_file", "page"], "left").select("block_id", "source_file", "page", "text", "headers", "rest", "begun")
@@ -530,27 +723,13 @@ def repaired_label(label: str | None) -> str | None:
         new_word = _cased(meant, word) if meant and meant != word.lower() else word
         if meant is None or not number:
             return None
-        if _LABEL_NUMBER.fullmatch(number) or re.fullmatch(r"[IVXLC]{2,}|[A-Z]|[VX]", number) and number not in ("O", "S", "I"):
+        if re.fullmatch(r"[IVXLC]{2,}|[A-Z]|[VX]", number) and number not in ("O", "S", "I"):
             return f"{new_word} {number}" if new_word != word else None
-        fixed = _fixed_number(number)
-        return f"{new_word} {fixed}" if fixed else None
-    return _fixed_number(text)
-
-
-def _fixed_number(text: str) -> str | None:
-    """Digits for the letters that stand in their place; a single letter in brackets and a capital before a
-    dot stay where the label is one with them."""
-    parts = re.findall(r"\([^)]*\)|[^()]+", text)
-    out = []
-    for k, p in enumerate(parts):
-        if p[0] == "(" and re.fullmatch(r"\((?:[a-z]|[ivx]+|\d+)\)", p):
-            out.append(p)
-        elif k == 0 and (m := re.fullmatch(r"(.+)([A-HJ-NP-RT-Z])(\..+)", p)):
-            out.append(m.group(1).translate(_DIGITS) + m.group(2) + m.group(3).translate(_DIGITS))
-        else:
-            out.append(p.translate(_DIGITS))
-    fixed = "".join(out)
-    return fixed if fixed != text and _LABEL_NUMBER.fullmatch(fixed) else None
+    else:
+        new_word, number = "", text
+    read = as_number(number, LABEL_FORMS)
+    repaired = f"{new_word} {read[1]}".strip() if read else None
+    return repaired if repaired and repaired != text else None
 
 
 def label_noise(df: DataFrame, key: Column, fields: tuple[str, ...]) -> DataFrame:
@@ -565,6 +744,10 @@ def label_noise(df: DataFrame, key: Column, fields: tuple[str, ...]) -> DataFram
     return df.select(key.cast("string").alias("record_key"), *fields).mapInArrow(run, "record_key string, field string, printed string, repaired string").distinct()
 
 
+def _with_more(lexicon: Lexicon, more: list[dict] | None) -> Lexicon:
+    return lexicon.more([(x["word"], x["clean"], x["scanned"]) for x in more]) if more else lexicon
+
+
 class PageRepair:
     """Repair of the scanned pages of ``blocks`` and of the labels of ``blocks`` and ``chunks``.
 
@@ -577,9 +760,14 @@ class PageRepair:
 
     def __init__(self, blocks: DataFrame, chunks: DataFrame, vocabulary: int = VOCABULARY, share: float = REPEATED):
         self.blocks, self.chunks = blocks, chunks
-        self.sent = blocks.sparkSession.sparkContext.broadcast(lexicon_of(blocks, vocabulary))
+        lexicon, rest = lexicon_of(blocks, vocabulary)
+        self.sent = blocks.sparkSession.sparkContext.broadcast(lexicon)
         pages = blocks.filter(scanned(F.col("font_size"), F.col("font_name")))
         self.pages = page_rows(blocks, running_headers(pages, share))
+        if rest is None:
+            self.pages = self.pages.withColumn("more", F.lit(None).cast("array<struct<word:string,clean:bigint,scanned:bigint>>"))
+        else:
+            self.pages = self.pages.join(rarer_words(pages, self.sent, rest), "block_id", "left")
 
     def _each(self, emit, columns: str) -> DataFrame:
         sent, names = self.sent, [c.split()[0] for c in columns.split(", ")]
@@ -588,7 +776,7 @@ class PageRepair:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [row for r in batch.to_pylist() for row in emit(str(r["block_id"]), *repair_page(r["text"], r["headers"] or [], r["rest"], r["begun"], sent.value))]
+                rows = [row for r in batch.to_pylist() for row in emit(str(r["block_id"]), *repair_page(r["text"], r["headers"] or [], r["rest"], r["begun"], _with_more(sent.value, r["more"])))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
 
         return self.pages.mapInArrow(run, columns)
@@ -619,13 +807,13 @@ class PageRepair:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                done = [repair_page(r["text"], r["headers"] or [], r["rest"], r["begun"], sent.value)[1:] for r in batch.to_pylist()]
+                done = [repair_page(r["text"], r["headers"] or [], r["rest"], r["begun"], _with_more(sent.value, r["more"]))[1:] for r in batch.to_pylist()]
                 own = [batch.column(batch.schema.get_field_index(c)) for c in ("keys", "source_file", "page")]
                 edges = [e and e._asdict() for _, e in done]
                 kind = pa.struct([(f, pa.bool_()) for f in Edges._fields])
                 yield pa.RecordBatch.from_arrays([*own, pa.array([p for p, _ in done], pa.list_(pa.string())), pa.array(edges, kind)], names=["keys", "source_file", "page", "parts", "edges"])
 
-        once = self.pages.groupBy("source_file", "page", "text").agg(F.sort_array(F.collect_set("block_id")).alias("keys"), *(F.first(c).alias(c) for c in ("headers", "rest", "begun")))
+        once = self.pages.groupBy("source_file", "page", "text").agg(F.sort_array(F.collect_set("block_id")).alias("keys"), *(F.first(c).alias(c) for c in ("headers", "rest", "begun", "more")))
         key = self.pages.schema["block_id"].dataType.simpleString()
         struct = ", ".join(f"{f}: boolean" for f in Edges._fields)
         units = cut(once.mapInArrow(run, f"keys array<{key}>, source_file string, page int, parts array<string>, edges struct<{struct}>").filter("edges is not null"))

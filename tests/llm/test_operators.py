@@ -200,7 +200,7 @@ def test_defects(spark):
         250: ("Respond in Spanish. What is the depth?", spanish[0][2], None), 251: ("Can it be sealed?", "Yes.", None), 252: ("What is the depth of the wall?", "- The depth is 3 mm.\n^^^1^^^\nThe provided standards do not address other parts.\n^^^FAIL^^^", None),
         260: ("What is the slope?", "The slope is 2 percent. Nothing in the documents conflicts with this.", None), 261: ("What is the slope?", "I am sorry the text is long, the slope is 2 percent.", None),
         262: ("What is the slope?", "It seems best that nobody here tries to respond to such a thing without a survey.", None), 263: ("What is the slope?", "My instructions leave me no way to reply to that one.", "refusal"),
-        264: ("What is the depth of the outer wall?", "what is the outer depth of the wall", "echo"), 265: ("What is the depth of the outer wall?", "The depth of the outer wall is 31 mm.", None),
+        264: ("What is the depth of the outer wall?", "what is the outer depth of the wall", "echo"), 265: ("What is the depth of the outer wall?", "The depth of the outer wall is 31 mm along both edges.", None),
         256: ("Can it be sealed?", "No.", None), 257: ("What is the depth of the wall?", "> What is the depth of the wall?", "echo"),
         253: (None, SOUND.format(7), None), 254: ("", SOUND.format(7), None), 255: ("What is the depth of the wall?", SOUND.format(7) * 3000, None),
     }
@@ -302,6 +302,42 @@ def cost_of(lines, full, starts):
     return total + 0.5 * sum(b in starts and (k + 1 == len(full) or full[k + 1] in starts) for k, b in enumerate(full))
 
 
+def read(lines, counts):
+    lexicon = page_repair.Lexicon([(w, n, 0) for w, n in counts.items()])
+    tokens = page_repair.stream(lines.split("\n"), [])
+    found = page_repair.decode(tokens, lexicon)
+    return " ".join(r.text for r in found), sorted({tokens[k].line for r in found for k in r.misread}), sorted(tokens[r.first].line for r in found if r.hyphen)
+
+
+def test_the_lattice_takes_errors_together():
+    known = {"the": 900, "retaining": 90, "wall": 200, "culvert": 80, "inspected": 70, "be": 500, "shall": 400, "reinforced": 60, "concrete": 60, "right-of-way": 40, "in": 700, "side": 50}
+    cases = {
+        "the retaining wall": ("the retaining wall", [], []),
+        "theretainingwall shall": ("the retaining wall shall", [], []),  # two blanks missing
+        "the re tain ing wall": ("the retaining wall", [], []),  # two blanks too many
+        "the cu1 vert shall": ("the culvert shall", [0], []),  # a blank and a confusion
+        "thecu1vert shall": ("the culvert shall", [0], []),
+        "the rein-\nforcedconcrete wall": ("the reinforced concrete wall", [], [0]),  # a hyphen and a missing blank
+        "the re-\ninforccd wall": ("the reinforced wall", [1], [0]),  # a hyphen and a confusion
+        "the right-of-\nway wall": ("the right-of-way wall", [], []),
+        "the vva1l shall be inspectcd": ("the wall shall be inspected", [0], []),
+        "in side the wall 4O": ("in side the wall 40", [0], []),
+        "Xyqqzt the wall": ("Xyqqzt the wall", [], []),
+    }
+    assert {k: read(k, known) for k in cases} == cases
+    assert read("the " + "x1" * 40_000 + " wall", known)[0].endswith("wall")
+
+
+def test_words_beyond_the_lexicon_are_known(spark):
+    clean = "the retaining wall beside the shared use path shall be inspected before each shift. a barn or a bam stands here."
+    rows = [(i, "clean.pdf", clean, i, 10.0, "Roman") for i in range(1, 31)] + [(40, "clean.pdf", "one antechamber with electroplating", 40, 10.0, "Roman")]
+    rows += [(101, "scan.pdf", "The bam beside the antechamber wall shall be\ninspected and e1ectroplating before the e1ectro-\nplating shift.", 1, 0.0, ""), (102, "scan.pdf", None, 2, 0.0, "")]
+    df = spark.createDataFrame(rows, "block_id bigint, source_file string, text string, page int, font_size double, font_name string").withColumns({c: F.lit("UNKNOWN") for c in ("doc_page", "section")})
+    empty = spark.createDataFrame([], "id string, section string")
+    got = [sorted(map(tuple, page_repair.PageRepair(df, empty, vocabulary=v).noise().collect())) for v in (200_000, 8)]
+    assert got[0] == got[1] == [("101", 2, "hyphen"), ("101", 2, "misread")]
+
+
 def test_no_pages(spark):
     blocks = spark.createDataFrame([], "block_id bigint, source_file string, text string, page int, doc_page string, section string, font_size double, font_name string")
     chunks = spark.createDataFrame([], "id string, section string")
