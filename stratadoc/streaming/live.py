@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stratadoc.operators.answers import TokenParser
+from stratadoc.operators.answers import State, advance, finish
 from stratadoc.operators.usage import DAILY_LIMIT
 
 _STATE = "waiting string, everything string, cited boolean, seq int"
@@ -22,18 +22,18 @@ def parse_tokens(tokens: DataFrame, idle_ms: int = 300_000) -> DataFrame:
     ``done``, or when the watermark has passed its last token by ``idle_ms``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, everything, cited, seq = state.get if state.exists else ("", "", False, 0)
-        parser, events, done = TokenParser(waiting, everything, cited), [], state.hasTimedOut
+        *held, seq = state.get if state.exists else (*State(), 0)
+        now, events, done = State(*held), [], state.hasTimedOut
         rows = pd.concat([b for b in batches]) if not state.hasTimedOut else None
         if rows is not None:
             for r in rows.sort_values("at").itertuples():
-                events += parser.feed(r.token or "")
-                done = done or bool(r.done)
+                now, new = advance(now, r.token or "")
+                events, done = events + new, done or bool(r.done)
         if done:
-            events += parser.finish()
+            events += finish(now)
             state.remove()
         else:
-            state.update((parser.waiting, parser.everything, parser.cited, seq + len(events)))
+            state.update((*now, seq + len(events)))
             latest = int(rows["ts"].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         if events:

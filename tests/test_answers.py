@@ -1,3 +1,5 @@
+import random
+
 
 import pytest
 
@@ -6,9 +8,20 @@ from stratadoc.streaming import live
 
 
 def events(text, size=3):
-    p = answers.TokenParser()
-    out = [e for i in range(0, len(text), size) for e in p.feed(text[i : i + size])]
-    return out + list(p.finish())
+    state, out = answers.State(), []
+    for i in range(0, len(text), size):
+        state, new = answers.advance(state, text[i : i + size])
+        out += new
+    return out + answers.finish(state)
+
+
+def test_places_and_tokens_agree():
+    pick = random.Random(4)
+    pieces = ["word ", "\n", "^^^3^^^", "^^^FAIL^^^", "\n^^^12^^^\n", "^^", "x" * 40, "A longer sentence of the answer stands here. ", "<think>a\nb</think>", " "]
+    for _ in range(3000):
+        text = "".join(pick.choice(pieces) for _ in range(pick.randint(0, 14)))
+        for size in (1, 3, 4, 7, 30):
+            assert answers.events_of(text, size) == events(text, size), (text, size)
 
 
 def test_citations_and_fail():
@@ -26,8 +39,11 @@ def test_no_marker_is_lost_whatever_the_token_size(size):
 
 
 def test_long_lines_are_sent_before_they_end():
-    p = answers.TokenParser()
-    assert any(e["type"] == "text" for i in range(40) for e in p.feed("word "))
+    state, sent = answers.State(), []
+    for _ in range(40):
+        state, new = answers.advance(state, "word ")
+        sent += new
+    assert sent and all(e["type"] == "text" for e in sent)
 
 
 def test_answers_come_back(spark):
@@ -37,6 +53,16 @@ def test_answers_come_back(spark):
     assert back == {1: "- One.\n^^^1^^^", 2: "", 3: "", 4: "^^^FAIL^^^"}
 
 
+def test_meta_and_error_events(spark):
+    parsed = answers.parsed(spark.createDataFrame([(1, "- One.\n^^^1^^^"), (2, "- Two.")], "k int, r string"), "k", "r")
+    sources = spark.createDataFrame([(1, 2, "b.pdf"), (1, 1, "a.pdf")], "k int, idx int, source_file string")
+    failed = spark.createDataFrame([(2, "no model")], "k int, message string")
+    got = sorted(answers.framed(parsed, "k", sources, failed).collect(), key=lambda r: (r.k, r.seq))
+    assert [(r.k, r.type) for r in got] == [(1, "meta"), (1, "text"), (1, "source_block"), (1, "done"), (2, "error")]
+    assert got[0].message == '[{"idx":1,"source_file":"a.pdf"},{"idx":2,"source_file":"b.pdf"}]' and got[-1].message == "no model"
+    assert {r.k: r.response for r in answers.rebuilt(answers.framed(parsed, "k", sources, failed), "k").collect()}[2] == "^^^FAIL^^^"
+
+
 def run(query):
     """All that is there now."""
     started = query.trigger(availableNow=True).start()
