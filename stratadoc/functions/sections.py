@@ -16,6 +16,7 @@ from stratadoc.schema import SEGMENT, UNKNOWN
 
 _SEGMENT = r"\((?:[ivxlcdmIVXLCDM]+|[a-zA-Z]|\d+)\)|\[(?:[ivxlcdmIVXLCDM]+|[a-zA-Z]|\d+)\]|\.\d+|\.[a-zA-Z]+|-\d+"
 NUMBER = rf"^(?:\d+|{_SEGMENT})(?:{_SEGMENT})*"
+# Fixed value: words that name a section in a heading.
 KEYWORD = r"(?i)^((?:Chapter|Section|Part|Article)\s+\d+\w*)"
 # The numerals.
 NUMERALS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}

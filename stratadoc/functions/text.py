@@ -68,6 +68,13 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+# How a declined answer is worded, and how pages are printed: after the word page, as two numbers
+# with a hyphen, and at the end of a line.
+DECLINE = r"(?s)\n*The provided standards do not address[^\n]*\n?.*?\^\^\^FAIL\^\^\^"
+PAGE_WORD, PAGE_PAIR = r"(?i)page\s+([ivxlcdm]+|\d{1,4}(?:-\d{1,4})?)", r"\b(\d{1,4}-\d{1,4})\b"
+PAGE_ENDS = (r"(?:Page|PAGE)\s+(\d+)$", r"(\d{1,4}-\d{1,4})$", r"(?:^|\D)(\d{1,4})$")
+
+
 def clean_page_text(c: Column) -> Column:
     """Form feeds dropped, line ends unified, blank lines reduced to one, blanks before line ends dropped."""
     steps = ((r"\f", ""), (r"\r\n?", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+\n", "\n"))
@@ -88,8 +95,8 @@ def printed_page(c: Column) -> Column:
     """Printed page number in a header or footer, '' if none: after the word page, else two numbers with a
     hyphen, both below 5,000, else a text that is one number of up to four digits but no year."""
     text = stripped(c)
-    keyword = found(text, r"(?i)page\s+([ivxlcdm]+|\d{1,4}(?:-\d{1,4})?)")
-    pair = found(text, r"\b(\d{1,4}-\d{1,4})\b")
+    keyword = found(text, PAGE_WORD)
+    pair = found(text, PAGE_PAIR)
     small = F.forall(F.split(pair, "-"), lambda x: x.cast("int") < 5000)
     alone = F.when(text.rlike(r"^\d{1,4}$") & ~text.cast("int").between(1900, 2099), text)
     return F.coalesce(keyword, F.when(small, pair), alone, F.lit(""))
@@ -100,7 +107,7 @@ def last_line_page(text: Column, section: Column) -> Column:
     nor four digits, nor ending in 2,000 or more. Else the first hyphenated pair in the first 500 characters."""
     lines = F.filter(F.transform(F.split(stripped(text), r"\r\n|\r|\n"), stripped), lambda x: x != "")
     last = F.when(F.size(lines) > 0, F.element_at(lines, -1))
-    shown = F.coalesce(found(last, r"(?:Page|PAGE)\s+(\d+)$"), found(last, r"(\d{1,4}-\d{1,4})$"), found(last, r"(?:^|\D)(\d{1,4})$"))
+    shown = F.coalesce(*(found(last, p) for p in PAGE_ENDS))
     tail = F.element_at(F.split(shown, "-"), -1).cast("bigint")
     usable = (shown != F.coalesce(section, F.lit(""))) & ~shown.rlike(r"^\d{4}$") & (tail < 2000)
     pair = found(F.substring(text, 1, 500), r"(?:^|\D)(\d{1,4}-\d{1,4})(?!\d)")
@@ -122,7 +129,7 @@ def strip_thinking(c: Column) -> Column:
 
 def strip_spurious_fail(c: Column) -> Column:
     """An answer with citations loses its decline sentence and FAIL marker."""
-    declined = stripped(F.regexp_replace(c, r"(?s)\n*The provided standards do not address[^\n]*\n?.*?\^\^\^FAIL\^\^\^", ""))
+    declined = stripped(F.regexp_replace(c, DECLINE, ""))
     return F.when(c.rlike(r"\^\^\^\d+\^\^\^") & c.contains("^^^FAIL^^^"), stripped(F.replace(declined, F.lit("^^^FAIL^^^"), F.lit("")))).otherwise(c)
 
 

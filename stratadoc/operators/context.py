@@ -20,7 +20,8 @@ def neighbours(hits: DataFrame, chunks: DataFrame, before: int = BEFORE, after:
     own = hits.select("query_id", "place", "source_file", "section", "chunk_index")
     offsets = F.array(*(F.lit(o) for o in range(-before, after + 1) if o))
     asked = own.select("query_id", "place", "source_file", "section", F.explode(F.transform(offsets, lambda o: F.col("chunk_index") + o)).alias("chunk_index"))
-    near = chunks.groupBy("source_file", "section", "chunk_index").agg(F.min("text").alias("text"))
+    wanted = asked.select("source_file", "section", "chunk_index").distinct()  # the texts of other chunks are not moved
+    near = chunks.join(wanted, ["source_file", "section", "chunk_index"], "left_semi").groupBy("source_file", "section", "chunk_index").agg(F.min("text").alias("text"))
     return asked.join(near, ["source_file", "section", "chunk_index"]).select("query_id", "place", "chunk_index", "text")
 
 

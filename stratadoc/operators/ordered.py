@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from stratadoc.functions.sections import advances, candidate, segments_of
 from stratadoc.functions.text import SPACE_ENDS, words
 from stratadoc.schema import SEGMENT, UNKNOWN
+from stratadoc.session import cut
 
 SPAN = 10_000
 
@@ -23,13 +24,13 @@ def forward_fill(df: DataFrame, key: str, order: str, columns: list[str], tie: l
     ``unknown`` and null are unknown; leading ones stay ``unknown``. Equal order values are taken by ``tie``.
     """
     rows = [F.col(order), *map(F.col, tie or [])]
-    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    spans = df.withColumn("_span", F.floor(F.col(order) / span))
     known = {c: F.when(F.col(c) != unknown, F.col(c)) for c in columns}
-    ends = cut.groupBy(key, "_span").agg(*(F.max_by(known[c], F.when(known[c].isNotNull(), F.struct(*rows))).alias(f"_{c}") for c in columns))
+    ends = spans.groupBy(key, "_span").agg(*(F.max_by(known[c], F.when(known[c].isNotNull(), F.struct(*rows))).alias(f"_{c}") for c in columns))
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(F.col(key).alias("_key"), F.col("_span").alias("_at"), *(F.last(f"_{c}", True).over(before).alias(f"_{c}") for c in columns))
     within = Window.partitionBy(key, "_span").orderBy(*rows).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")), "left")
+    joined = spans.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")), "left")
     filled = {c: F.coalesce(F.last(known[c], True).over(within), F.col(f"_{c}"), F.lit(unknown)) for c in columns}
     return joined.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
 
@@ -37,38 +38,48 @@ def forward_fill(df: DataFrame, key: str, order: str, columns: list[str], tie: l
 def lagged(df: DataFrame, key: str, order: str, column: str, name: str, span: int = SPAN) -> DataFrame:
     """``df`` with the value of ``column`` in the row before, null in a key's first row. ``order`` is an
     integer column, distinct within the key."""
-    cut = df.withColumn("_span", F.floor(F.col(order) / span))
-    ends = cut.groupBy(key, "_span").agg(F.max_by(F.struct(F.col(column).alias("v")), order).alias("_end"))
+    spans = df.withColumn("_span", F.floor(F.col(order) / span))
+    ends = spans.groupBy(key, "_span").agg(F.max_by(F.struct(F.col(column).alias("v")), order).alias("_end"))
     before = F.lag("_end").over(Window.partitionBy(key).orderBy("_span"))
     carried = ends.select(F.col(key).alias("_key"), F.col("_span").alias("_at"), before.alias("_before"))
     own = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(key, "_span").orderBy(order))
-    joined = cut.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")), "left")
+    joined = spans.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")), "left")
     return joined.select(*df.columns, F.coalesce(own, F.col("_before"))["v"].alias(name))
 
 
 def running_total(df: DataFrame, key: str, order: str, column: str, name: str, span: int = SPAN) -> DataFrame:
     """``df`` with the sum of ``column`` up to and with each row."""
-    cut = df.withColumn("_span", F.floor(F.col(order) / span))
-    sums = cut.groupBy(key, "_span").agg(F.sum(column).alias("_sum"))
+    spans = df.withColumn("_span", F.floor(F.col(order) / span))
+    sums = spans.groupBy(key, "_span").agg(F.sum(column).alias("_sum"))
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(F.col(key).alias("_key"), F.col("_span").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")))
+    joined = spans.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")))
     return joined.select(*df.columns, (F.sum(column).over(within) + F.col("_before")).alias(name))
 
 
 def numbered(df: DataFrame, key: str, order: list[str], name: str, span_of: Column) -> DataFrame:
     """``df`` with the dense position from 0 of each row in its key. ``span_of`` must not fall along the
     order; positions are counted within spans and the sizes of the spans before are added."""
-    cut = df.withColumn("_span", span_of)
-    sizes = cut.groupBy(key, "_span").agg(F.count("*").alias("_n"))
+    spans = df.withColumn("_span", span_of)
+    sizes = spans.groupBy(key, "_span").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.select(F.col(key).alias("_key"), F.col("_span").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(key, "_span").orderBy(*order)
-    joined = cut.join(offset, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")))
+    joined = spans.join(offset, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")))
     return joined.select(*df.columns, (F.row_number().over(within) - 1 + F.col("_before")).cast("int").alias(name))
 
 
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the position from 0 of each row in an order over everything. Rows are sorted over all
+    partitions; only the partitions' sizes, a row each, come together."""
+    spread = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    spread = spread.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return spread.join(offsets, "_part").select(*df.columns, (F.col("_row") + F.col("_before")).alias(name))
+
+
 def last_writer(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key; an aggregate, so every map task sends one row a key at most."""
     rest = [c for c in df.columns if c not in keys]
@@ -94,31 +105,37 @@ def word_windows(df: DataFrame, key: str, text: str, size: int = 220, overlap: i
     """``(key, window, piece)``: windows of ``size`` words, each beginning ``overlap`` words before the last
     one's end, and the words that are left at the end; empty texts have none."""
     step = size - overlap
-    cut = df.select(key, words(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
+    texts = df.select(key, words(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
     last = F.greatest(F.ceil((F.size("_words") - overlap) / step).cast("int"), F.lit(1)) - 1
-    windows = cut.select(key, "_words", F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    return windows.select(key, "window", F.array_join(F.slice("_words", F.col("window") * step + 1, size), " ").alias("piece"))
+    # the pieces are made before they become rows, so no row carries the whole text
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("_words", k * step + 1, size), " "))
+    return texts.select(key, F.posexplode(pieces).alias("window", "piece"))
 
 
-def tracked_sections(df: DataFrame, file: str, order: str, text: str, lines: int = 10) -> DataFrame:
+def tracked_sections(df: DataFrame, file: str, order: str, text: str, lines: int = 10, span: int = SPAN) -> DataFrame:
     """``(file, order, section)``: the section each text is in, followed through each file in order.
 
     Candidates of the first ``lines`` lines are found as expressions; only the decision which of them is
-    taken needs the state before. It is taken in one pass over sorted partitions, so a file of any size
-    is never held in memory. Texts of one line always take their candidate.
+    taken needs the state before. A text whose first candidate stands in its first two lines takes it whatever
+    came before, so a file is cut at such texts into stretches that do not depend on one another; each is
+    followed by itself, in one pass over sorted partitions. A file of any share of the rows is many tasks, and
+    a stretch is never held in memory. ``order`` is an integer column, distinct within the file.
     """
     rows = F.slice(F.split(F.regexp_replace(text, SPACE_ENDS, ""), r"\r\n|\r|\n"), 1, lines)
     numbers = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("line"), candidate(x).alias("number"))), lambda x: x.number.isNotNull())
     found = F.transform(numbers, lambda x: F.struct(x.line.alias("line"), segments_of(x.number).alias("segments")))
-    sorted_rows = df.select(file, order, found.alias("found")).repartition(file).sortWithinPartitions(file, order)
+    marked = cut(df.select(file, order, found.alias("found")))
+    sure = (F.size("found") > 0) & (F.get("found", F.lit(0))["line"] < 2)
+    stretches = forward_fill(marked.withColumn("_stretch", F.when(sure, F.col(order).cast("string"))), file, order, ["_stretch"], unknown="", span=span)
+    sorted_rows = stretches.select(file, order, "found", "_stretch").repartition(file, "_stretch").sortWithinPartitions(file, "_stretch", order)
 
     def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, current, label = None, None, UNKNOWN
         for batch in batches:
             out = []
-            for name, options in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if name != at:
-                    at, current, label = name, None, UNKNOWN
+            for *stretch, options in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                if stretch != at:
+                    at, current, label = stretch, None, UNKNOWN
                 for o in options or []:
                     if o["line"] < 2 or advances(current, o["segments"]):
                         current, label = o["segments"], "".join(s["raw"] for s in o["segments"])

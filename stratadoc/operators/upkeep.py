@@ -1,12 +1,15 @@
-"""Changing a chunk table: appends, corrections, refreshes and atomic publication.
+"""Changing a chunk table: appends, replacements, updates, refreshes and atomic publication.
 
-Plain Parquet has no row updates; every change reads the current version, derives the next one and
-publishes it by moving a pointer, so readers see either version whole and nothing that is read is overwritten.
+Plain Parquet has no row updates. A table is a list of folders, each with rows, with keys whose earlier rows are
+gone, or with new values of earlier rows; a change writes only its own rows and publishes a longer list. Readers
+see either list whole, and nothing that is read is overwritten. ``compact`` writes it all as rows again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ def split_failures(df: DataFrame, vector: str = "vector") -> tuple[DataFrame, Da
     """Rows with an embedding, and for those without one what the dead-letter log keeps of them."""
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     failed = df.filter(F.col(vector).isNull()).select(
-        F.lit("no embedding").alias("error"), words.alias("word_count"), F.length("text").alias("char_count"), F.substring("text", 1, 500).alias("text")
+        F.lit("no embedding").alias("error"), words.alias("word_count"), F.length("text").alias("char_count"), F.substring("text", 1, 500).alias("text"), F.substring(F.concat(F.lit("'"), F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("'")), 1, 200).alias("repr")
     )
     return df.filter(F.col(vector).isNotNull()), failed
 
@@ -45,9 +48,14 @@ def without(table: DataFrame, condition: Column) -> DataFrame:
     return table.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def valid_sections(updates: DataFrame) -> DataFrame:
+    """``(id, section)`` of ``updates`` that may be stored as one, one for each id."""
+    return updates.filter(is_section_value(F.col("section"))).groupBy("id").agg(F.max(stripped(F.col("section"))).alias("section"))
+
+
 def section_updates(table: DataFrame, updates: DataFrame) -> DataFrame:
     """``table`` with the sections of ``updates`` (``id, section``) that may be stored as one, flagged as corrected."""
-    valid = last_writer(updates.filter(is_section_value(F.col("section"))).select("id", stripped(F.col("section")).alias("_new"), F.lit(0).alias("_seq")), ["id"], ["_seq", "_new"])
+    valid = valid_sections(updates).withColumnRenamed("section", "_new")
     joined = table.join(valid.select("id", "_new"), "id", "left")
     return joined.withColumns({"section": F.coalesce("_new", "section"), "llm_corrected_section": F.col("_new").isNotNull() | F.coalesce("llm_corrected_section", F.lit(False))}).drop("_new")
 
@@ -117,57 +125,107 @@ def links(files: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 class VersionedTable:
-    """A Parquet table in a folder of versions, with a pointer to the live one.
+    """A Parquet table as a list of changes, and a pointer file for each state of the list.
 
-    ``publish`` writes a new version and then creates the pointer of its number, which fails if another run
-    has created it meanwhile; an interrupted run leaves the live version as it was.
+    An entry of the list is ``(kind, folder)``: ``rows``; ``drop``, whose values of ``key`` have no rows before it;
+    ``set``, which holds ``id`` and new values of some columns of rows before it. A change writes a folder and then
+    creates the pointer of the next number, which fails if another run has created it meanwhile; an interrupted
+    run leaves the table as it was. The list grows by an entry or two a change; ``compact`` makes it one again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, key: str = "source_file"):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _live(self) -> tuple[int, str | None]:
-        """Number and folder of the newest complete version; 0 and None if there is none."""
+    def _live(self) -> tuple[int, list[list[str]]]:
+        """Number and entries of the newest complete list; 0 and none if there is none."""
         root = self._path(f"{self.folder}/_live")
         files = [f for f in self._fs.listStatus(root) if f.getLen() and f.getPath().getName().isdigit()] if self._fs.exists(root) else []
         if not files:
-            return 0, None
+            return 0, []
         newest = max(files, key=lambda f: int(f.getPath().getName()))
         stream = self._fs.open(newest.getPath())
         try:
-            name = bytes(stream.readAllBytes()).decode()
+            entries = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return int(newest.getPath().getName()), name
+        return int(newest.getPath().getName()), entries
 
     def exists(self) -> bool:
-        return self._live()[1] is not None
+        return bool(self._live()[1])
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self._live()[1]}")
-
-    def publish(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        number = self._live()[0] + 1
-        name = f"v{number}_{uuid.uuid4().hex[:8]}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}") if partition_by else df.write.parquet(f"{self.folder}/{name}")
+    def _point(self, number: int, entries: list[list[str]]) -> None:
         try:
-            stream = self._fs.create(self._path(f"{self.folder}/_live/{number}"), False)
+            stream = self._fs.create(self._path(f"{self.folder}/_live/{number + 1}"), False)
         except Exception as error:
-            raise RuntimeError(f"version {number} was published meanwhile") from error
-        stream.write(bytearray(name.encode()))
+            raise RuntimeError(f"state {number + 1} was published meanwhile") from error
+        stream.write(bytearray(json.dumps(entries).encode()))
         stream.close()
 
+    def _write(self, kind: str, df: DataFrame) -> list[str]:
+        name = f"{kind}_{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.folder}/{name}")
+        return [kind, name]
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def read(self) -> DataFrame:
+        """The table as it is now. Drops and updates that follow one another are joined as one."""
+        out, entries, at = None, self._live()[1], 0
+        while at < len(entries):
+            kind, upto = entries[at][0], at
+            while upto < len(entries) and entries[upto][0] == kind:
+                upto += 1
+            parts = [self._read(name) for _, name in entries[at:upto]]
+            if kind == "rows":
+                out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts if out is None else [out, *parts])
+            elif kind == "drop":
+                out = out.join(reduce(DataFrame.unionByName, parts).distinct(), self.key, "left_anti").select(*out.columns)
+            else:
+                numbered = [p.withColumn("_n", F.lit(n)) for n, p in enumerate(parts)]
+                every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+                values = [c for c in every.columns if c not in ("id", "_n")]
+                latest = every.groupBy("id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(f"_new_{c}") for c in values))
+                out = out.join(latest, "id", "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in out.columns))
+            at = upto
+        return out
+
+    def publish(self, df: DataFrame) -> None:
+        """The rows of ``df`` instead of all there were."""
+        number, _ = self._live()
+        self._point(number, [self._write("rows", df)])
+
+    def append(self, df: DataFrame) -> None:
+        """More rows; nothing else is written."""
+        number, entries = self._live()
+        self._point(number, [*entries, self._write("rows", df)])
+
+    def replace(self, df: DataFrame, gone: DataFrame | None = None) -> None:
+        """The rows of ``df`` instead of those of the same keys, or of the keys in ``gone``."""
+        number, entries = self._live()
+        dropped = (df if gone is None else gone).select(self.key).distinct()
+        self._point(number, [*entries, self._write("drop", dropped), self._write("rows", df)] if entries else [self._write("rows", df)])
+
+    def update(self, values: DataFrame) -> None:
+        """New values (``id`` and columns; null leaves a value) of rows there are, one row an ``id``."""
+        number, entries = self._live()
+        self._point(number, [*entries, self._write("set", values)])
+
+    def compact(self) -> None:
+        """All rows in one folder, clustered by ``key``. The folders before it stay for those who read them."""
+        number, entries = self._live()
+        if len(entries) > 1:
+            self._point(number, [self._write("rows", self.read().repartition(self.key).sortWithinPartitions(self.key))])
+
     def open_or_create(self, ddl: str) -> DataFrame:
         if not self.exists():
             self.publish(self.spark.createDataFrame([], ddl))
         return defaulted(with_missing_columns(self.read(), ddl))
 
-
-def query_refers_to(text: Column) -> Column:
-    """The file, page and index a chunk id is made of, as a struct."""
-    return F.struct(
-        found(text, r"^(.*)__p\d+__c\d+$").alias("source_file"), found(text, r"__p(\d+)__c\d+$").cast("int").alias("page"), found(text, r"__c(\d+)$").cast("int").alias("chunk_index")
-    )
+    def reset(self, ddl: str) -> DataFrame:
+        """An empty table in the place of what there was."""
+        self.publish(self.spark.createDataFrame([], ddl))
+        return self.read()

@@ -53,7 +53,10 @@ class Engine:
         embedded = cut(self.embed(filled.withColumn("_input", embedding_input(F.col("text"))), "_input").drop("_input"))
         kept, failed = upkeep.split_failures(embedded)
         names = schema.T.StructType.fromDDL(schema.CHUNK).names
-        self.table.publish(upkeep.replaced(table.select(names), kept.select(names)))
+        if force:
+            self.table.replace(kept.select(names), blocks)
+        else:
+            self.table.append(kept.select(names))
         readers.append_log(failed, f"{self.folder}/dead_letters")
         self._facets = None
         return failed
@@ -85,13 +88,12 @@ class Engine:
         checked = cut(schema.request_problems(changes))
         good = checked.filter(F.size("problems") == 0).drop("problems")
         updates = upkeep.with_ids(good).select("id", "section")
-        table = cut(self.chunks())
-        before = table.select("id", F.col("section").alias("old_value"))
+        before = self.chunks().select("id", F.col("section").alias("old_value"))
         rows = upkeep.with_ids(good).join(before, "id").select(
             "source_file", "page", "chunk_index", "old_value", F.col("section").alias("correct_value"), F.lit("section").alias("field"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
         )
         readers.append_log(rows, f"{self.folder}/corrections")
-        self.table.publish(upkeep.section_updates(table, updates).select(table.columns))
+        self.table.update(upkeep.valid_sections(updates).withColumn("llm_corrected_section", F.lit(True)))
         return checked.filter(F.size("problems") > 0)
 
     # Answers

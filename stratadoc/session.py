@@ -13,12 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one is made in local
+    mode only; on a cluster no executor but the driver's machine would see it, so that fails."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="stratadoc-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stratadoc-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

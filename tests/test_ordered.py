@@ -60,6 +60,24 @@ def test_tracker_follows_lines(spark):
     assert got == {("a", 0): "1310.02", ("a", 1): "1310.02", ("a", 2): "1310.03", ("b", 0): "UNKNOWN"}
 
 
+def test_a_file_with_most_rows_is_followed_in_many_tasks(spark):
+    rows, at = [], 1
+    pick = random.Random(8)
+    for i in range(4000):
+        at += 1
+        rows.append(("hot", i, pick.choice([f"1310.{at:02} Scope", "text", f"text\nmore\n1310.{at:02} Deep", "text\n\nx\n77.1 Odd"])))
+    rows += [(f"f{k}", 0, "text") for k in range(40)]
+    df = frame(spark, rows).repartition(4)
+    tracked = ordered.tracked_sections(df, "f", "i", "c", span=500)
+    got = {(r.f, r.i): r.section for r in tracked.collect()}
+    one = {(r.f, r.i): r.section for r in ordered.tracked_sections(df.coalesce(1), "f", "i", "c").collect()}
+    assert got == one and len(got) == 4040
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    busy = tracked.filter("f = 'hot'").groupBy(ordered.F.spark_partition_id().alias("p")).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(busy) > 1
+
+
 def plain_chunks(blocks, size=220, overlap=50):
     """The rules again, as a loop over one file."""
     out, words, label = [], [], None

@@ -32,6 +32,24 @@ def test_a_lost_race_raises(spark, tmp_path):
     assert t.read().count() == 2
 
 
+def test_changes_write_only_their_own_rows(spark, tmp_path):
+    t = upkeep.VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda *r: spark.createDataFrame(r, "id string, source_file string, section string, flag boolean")
+    t.publish(rows(*((f"f__{i}", "f", "1", False) for i in range(500))))
+    size = lambda: {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "t").iterdir() if p.name != "_live"}
+    before = size()
+    t.append(rows(("g__0", "g", "1", False), ("g__1", "g", "1", False)))
+    t.update(spark.createDataFrame([("f__3", "9.9", True)], "id string, section string, flag boolean"))
+    t.update(spark.createDataFrame([("f__3", None, True), ("f__4", "8.8", True)], "id string, section string, flag boolean"))
+    t.replace(rows(("g__0", "g", "2", False)))
+    assert sorted(size().values()) == sorted([*before.values(), 2, 1, 2, 1, 1])
+    seen = sorted(map(tuple, t.read().collect()))
+    assert len(seen) == 501 and ("f__3", "f", "9.9", True) in seen and ("f__4", "f", "8.8", True) in seen and ("g__0", "g", "2", False) in seen
+    t.compact()
+    assert sorted(map(tuple, t.read().collect())) == seen and len(t._live()[1]) == 1
+    assert t.reset("id string").count() == 0
+
+
 def test_missing_columns_and_failures(spark):
     df = schema.with_missing_columns(spark.createDataFrame([("a b", None), ("c", [1.0])], "text string, vector array<float>"))
     assert set(schema.T.StructType.fromDDL(schema.CHUNK).names) == set(df.columns)
@@ -159,3 +177,13 @@ def test_full_text_within_facets(spark):
     asked = spark.createDataFrame([(1, "wall", "OSHA"), (2, "wall", "")], "query_id int, query string, filter_agency string")
     got = search.bm25(search.postings(texts, "id", "text", ("agency",)), asked, "id", 5, facets=("agency",)).collect()
     assert sorted((r.query_id, r.id) for r in got) == [(1, "b"), (2, "a"), (2, "b")]
+
+
+def test_quota_of_a_client_with_most_events(spark):
+    rows = [(i, "hot" if i % 3 else f"c{i % 7}", f"2025-01-0{1 + i % 2} 10:00:{i % 60:02}") for i in range(900)] + [(901, None, None), (902, "hot", None)]
+    df = spark.createDataFrame(rows, "event_id int, client string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.event_id: r.allowed for r in usage.within_quota(df, "client", "ts", "event_id", 4, ("c1",)).collect()}
+    by = {}
+    for i, c, t in sorted(rows, key=lambda r: (r[2] or "", r[0])):
+        by.setdefault((c, (t or "")[:10]), []).append(i)
+    assert got == {i: c == "c1" or i in by[c, (t or "")[:10]][:4] for i, c, t in rows}
