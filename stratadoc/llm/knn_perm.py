@@ -6,9 +6,11 @@ closest ones by footrule distance between the two orders are ranked again by the
 
 The pivots of the upper level, a sample of all vectors, only decide where to look: neighbouring pivots
 form groups, a vector lives in the group of its nearest pivot and is shipped as a query to the next
-groups in its order. Each group then has pivots and inverted files of its own, one pivot for every few
-of its vectors, so the index is as fine in a large collection as in a small one. Pivots are sampled, so
-dense regions hold more of them, and groups and inverted files stay of one size.
+groups in its order. Where the rows are more than the upper pivots can divide, each group is halved as often
+as needed by planes through its middle, and a query goes to the nearest other sides as well. Each group
+has pivots and inverted files of its own, one pivot for every few of its vectors, so the index is as fine in a
+large collection as in a small one. Pivots are sampled, so dense regions hold more of them, and groups and
+inverted files stay of one size.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ PIVOTS_ROOT, MOST_PIVOTS = 6, 8192
 #: How many of its nearest upper pivots a vector follows, to how many groups at most.
 FOLLOWED, VISITS = 8, 3
 GROUP_ROWS = 4000
-#: A group has a pivot for every PER_PIVOT vectors, at most GROUP_PIVOTS.
-PER_PIVOT, GROUP_PIVOTS = 4, 1024
+#: Planes whose other side a query visits too in its own group, the nearest ones.
+OTHER_SIDES = 2
+#: A group has a pivot for every PER_PIVOT vectors.
+PER_PIVOT = 4
 ORDER = 12
 RERANKED = 48
-SPARE = 2
 
 
 def _dense(column: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +94,28 @@ def pivot_groups(pivots: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
+def halves(groups: int, rows: int, group_rows: int) -> int:
+    """How often each group must be halved for about ``group_rows`` rows in each part."""
+    return max(0, math.ceil(math.log2(max(1.0, rows / (groups * group_rows)))) if rows > 2 * groups * group_rows else 0)
+
+
+def sides(x: np.ndarray, group: np.ndarray, middles: np.ndarray, planes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of its group each vector is in, a bit for each of ``planes`` random planes through the group's middle,
+    and its distance from them."""
+    normal = np.random.default_rng(11).normal(size=(planes, x.shape[1])).astype(np.float32)
+    apart = (x - middles[group]) @ normal.T
+    return ((apart > 0) << np.arange(planes)).sum(axis=1), np.abs(apart)
+
+
 def orders(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` nearest pivots of each unit vector, nearest first."""
-    near = x @ pivots.T
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(pivots) else np.broadcast_to(np.arange(k), near.shape)
-    rank = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-    return np.take_along_axis(top, rank, 1).astype(np.int16)
+    out = []
+    for lo in range(0, len(x), 1024):
+        near = x[lo : lo + 1024] @ pivots.T
+        top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(pivots) else np.broadcast_to(np.arange(k), near.shape)
+        rank = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
+        out.append(np.take_along_axis(top, rank, 1).astype(np.int32))
+    return np.concatenate(out) if out else np.zeros((0, k), dtype=np.int32)
 
 
 def _pack(x: np.ndarray) -> list[bytes]:
@@ -124,7 +143,8 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.ndarray, same: np.ndarray, k: int, reranked: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query, vector, cosine)`` of the best ``k`` vectors of ``x`` for each query, itself (at ``same``) left out.
+    """``(query, vector, cosine)`` of the best ``k`` vectors of ``x`` for each query and those like the last of them,
+    itself (at ``same``) left out.
 
     With orders of length K, the footrule distance with absent pivots at rank K is
     K(K+1) - 2 sum(min(K - rank in one, K - rank in the other)) over the pivots they share, so it is added
@@ -157,22 +177,21 @@ def neighbours(q: np.ndarray, x: np.ndarray, q_order: np.ndarray, x_order: np.nd
         usable = np.isfinite(np.take_along_axis(footrule, best, 1))
         near = np.matmul(x[best], q[lo : lo + step, :, None])[..., 0]
         near[~usable] = -np.inf
-        top = np.argsort(-near, axis=1, kind="stable")[:, :k]
-        found = np.isfinite(np.take_along_axis(near, top, 1))
-        row, col = np.nonzero(found)
-        vector = np.take_along_axis(best, top, 1)[row, col]
+        last = -np.sort(-near, axis=1)[:, min(k, near.shape[1]) - 1]
+        row, col = np.nonzero((near >= (last - 2e-6)[:, None]) & np.isfinite(near))
+        vector = best[row, col]
         out.append((lo + row, vector, exact(lo + row, vector)))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int = NEAREST, dim: int | None = None, order: int = ORDER, reranked: int = RERANKED, group_rows: int = GROUP_ROWS) -> DataFrame:
+def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int = NEAREST, dim: int | None = None, order: int = ORDER, reranked: int = RERANKED, group_rows: int = GROUP_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """``(id, neighbour, cosine, rank)``: for every id with a usable vector its ``k`` most similar others.
 
     Every row is indexed and every row is a query. Vectors that are null, of another length than ``dim``
     (by default the most frequent length), not finite or all zero take no part, nor do null ids; repeated
     rows of an id count once. Equal cosines (to nine decimals) are ranked by the smaller id. Equal vectors
     are one member of the index, so a value any number of rows share is handled once; their ids come back
-    at the end. Fewer than ``k`` others give fewer rows, an empty table none. Other columns are ignored.
+    at the end. Of vectors of one direction but different lengths up to ``reranked`` are told apart. Fewer than ``k`` others give fewer rows, an empty table none. Other columns are ignored.
     """
     df = df.select(F.col(key).alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
     kind = df.schema["id"].dataType.simpleString()
@@ -180,17 +199,21 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
         lengths = df.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
         dim = lengths.n if lengths else 1
     spark, rows = df.sparkSession, df.count()
-    wanted = min(MOST_PIVOTS, math.ceil(PIVOTS_ROOT * math.sqrt(max(rows, 1))))
+    wanted = min(most_pivots, math.ceil(PIVOTS_ROOT * math.sqrt(max(rows, 1))))
     bits = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     sample = df.filter(bits < int((1 << 40) * min(1.0, wanted / max(rows, 1)))).select("vector").toArrow()
     _, drawn = _dense(sample.column(0), dim) if sample.num_rows else (None, np.zeros((0, dim), dtype=np.float32))
     pivots = _unit(drawn[np.unique(_class(drawn), return_index=True)[1]]) if len(drawn) else drawn
     if not len(pivots):
         pivots = np.eye(1, dim, dtype=np.float32)
-    pivots = pivots[: 2 * MOST_PIVOTS]
+    pivots = pivots[: 2 * most_pivots]
     followed = min(FOLLOWED, len(pivots))
     groups = max(1, min(len(pivots), rows // group_rows))
-    sent = spark.sparkContext.broadcast((pivots, pivot_groups(pivots, groups)))
+    group_of = pivot_groups(pivots, groups)
+    groups = int(group_of.max()) + 1
+    middles = np.stack([pivots[group_of == g].mean(axis=0) for g in range(groups)])
+    planes = halves(groups, rows, group_rows)
+    sent = spark.sparkContext.broadcast((pivots, group_of, middles))
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +221,7 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(_class(x))], names=["id", "class"])
 
     def ship(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, group_of = sent.value
+        pivots, group_of, middles = sent.value
         seen: set[int] = set()
         for batch in batches:
             _, every = _dense(batch.column(0), dim)
@@ -214,9 +237,17 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
                 packed, number = _pack(every[at]), classes[at]
                 visits = [list(dict.fromkeys(v))[:VISITS] for v in group_of[orders(x, pivots, followed)].tolist()]
                 row = np.repeat(np.arange(len(at)), [len(v) for v in visits])
+                group, home = np.array([g for v in visits for g in v], dtype=np.int64), np.array([j == 0 for v in visits for j in range(len(v))])
+                if planes:
+                    part, apart = sides(x[row], group, middles, planes)
+                    near = np.argsort(apart[home], axis=1)[:, :OTHER_SIDES]
+                    others = part[home][:, None] ^ (1 << near)
+                    row = np.concatenate([row, np.repeat(row[home], near.shape[1])])
+                    group = np.concatenate([(group << planes) + part, ((group[home] << planes)[:, None] + others).ravel()])
+                    home = np.concatenate([home, np.zeros(others.size, dtype=bool)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([g for v in visits for g in v], pa.int32()), pa.array([j == 0 for v in visits for j in range(len(v))]),
+                        pa.array(group), pa.array(home),
                         pa.array(number[row]), pa.array([packed[i] for i in row], pa.binary()),
                     ],
                     names=["group", "home", "class", "packed"],
@@ -235,17 +266,17 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
             return pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         place = np.full(len(number), -1)
         place[live] = np.arange(len(live))
-        local = every[live[: min(GROUP_PIVOTS, -(-len(live) // PER_PIVOT))]]  # in order of class number, so at random
+        local = every[live[: -(-len(live) // PER_PIVOT)]]  # in order of class number, so at random
         near = orders(every, local, min(order, len(local)))
         exact = lambda q, x: _cosines(raw[q], raw[live[x]])
-        a, b, near = neighbours(every, every[live], near, near[live], place, k + SPARE, reranked, exact)
+        a, b, near = neighbours(every, every[live], near, near[live], place, k, reranked, exact)
         return pa.table({"query": pa.array(number[a]), "class": pa.array(number[live][b]), "cosine": pa.array(near)})
 
     members = cut(df.mapInArrow(number, f"id {kind}, class bigint").distinct())
-    shipped = df.select("vector").mapInArrow(ship, "group int, home boolean, class bigint, packed binary")
+    shipped = df.select("vector").mapInArrow(ship, "group bigint, home boolean, class bigint, packed binary")
     near = shipped.groupBy("group").applyInArrow(search, "query bigint, class bigint, cosine double")
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "class")
-    near = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + SPARE).drop("n")
+    best = Window.partitionBy("query").orderBy(F.round("cosine", 9).desc())
+    near = near.withColumn("n", F.rank().over(best)).filter(F.col("n") <= k).drop("n")
     by_id = Window.partitionBy("class").orderBy("id")
     first_ids = members.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).drop("n").withColumnRenamed("id", "neighbour")
     own = first_ids.select(F.col("class").alias("query"), F.lit(1.0).alias("cosine"), "neighbour")

@@ -8,6 +8,7 @@ bucket of test runs, and the words are compared one by one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from stratadoc.llm.wordscan import MIX_A, U64, Words, mix, pieces, slices
 
 RUN, BLOCK = 12, 3
-TABLE_BITS = 20
+#: Cells of the shift table for each word of the items, so that few cells are taken whatever their number.
+PER_WORD = 64
 LANE = 256
 
 
@@ -38,7 +40,8 @@ class WuManber:
             raise ValueError(f"a run must have at least {BLOCK} words")
         self.run, self.words = run, Words([t for _, t in items], "letters_digits")
         h, doc = self.words.hash, self.words.doc
-        self.shift = np.full(1 << TABLE_BITS, run - BLOCK + 1, dtype=np.int64)
+        self.bits = min(28, max(12, math.ceil(math.log2(PER_WORD * max(1, len(h))))))
+        self.shift = np.full(1 << self.bits, run - BLOCK + 1, dtype=np.int16)
         self.number = np.array([n for n, _ in items], dtype=np.int64)
         at = np.flatnonzero(doc[run - 1 :] == doc[: max(0, len(doc) - run + 1)]) + run - 1
         for back in range(run - BLOCK + 1):  # the block that ends `back` words before a run's end
@@ -48,7 +51,7 @@ class WuManber:
         self.key, self.at = key[order], at[order]
 
     def _cell(self, block: np.ndarray) -> np.ndarray:
-        return (block >> U64(64 - TABLE_BITS)).astype(np.int64)
+        return (block >> U64(64 - self.bits)).astype(np.int64)
 
     def _key(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix(_block(h, at) * MIX_A + _block(h, at - self.run + BLOCK))
@@ -100,7 +103,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_chars: i
     count. Null or empty texts and parts of fewer than ``run`` words hold nothing; repeated rows and a
     passage found several times give one row; a null ``doc_id`` is kept as null, a null ``n`` is no item.
     Empty tables give an empty result. Items are broadcast in blocks of about ``block_chars`` characters,
-    each searched in its own pass, so what is sent does not grow with the table. Nothing is shuffled but
+    each with tables made once and searched in its own pass, so what is sent does not grow with the table. Nothing is shuffled but
     the rows found.
     """
     parts = items.filter(F.col("n").isNotNull()).select(
@@ -111,10 +114,10 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_chars: i
     found = None
     for b in range(blocks):
         rows = parts.filter(F.pmod(F.xxhash64("n", "part"), F.lit(blocks)) == b).collect()
-        sent = documents.sparkSession.sparkContext.broadcast([(r.n, r.part) for r in rows])
+        sent = documents.sparkSession.sparkContext.broadcast(WuManber([(r.n, r.part) for r in rows], run))
 
         def scan(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = WuManber(sent.value, run)
+            search = sent.value
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 hits: set[tuple[int, int]] = set()

@@ -129,6 +129,19 @@ def test_recall_of_the_index(spark):
     assert len(got) == len(exact) == 15_000 and len(got & exact) >= 0.9 * len(exact)
 
 
+def test_groups_are_halved_where_pivots_are_few(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    rows = [(f"v{i:04}", (centres[i % 40] + 0.4 * rng.normal(size=24)).astype(np.float32).tolist()) for i in range(4000)]
+    assert knn_perm.halves(8, 4000, 100) == 3 and knn_perm.halves(8, 4000, 4000) == 0
+    got = {(r.id, r.neighbour) for r in knn_perm.most_similar(vectors(spark, rows), group_rows=100, most_pivots=8).collect()}
+    exact = exact_neighbours(rows)
+    assert len(got) == len(exact) and len(got & exact) >= 0.8 * len(exact)
+    rows = [(f"t{i:02}", [float(i + 1), 2.0 * (i + 1)]) for i in range(20)] + [("u", [1.0, 0.0])]
+    tied = {(r.id, r["rank"]): r.neighbour for r in knn_perm.most_similar(vectors(spark, rows)).collect()}
+    assert [tied["t19", k] for k in range(1, 6)] == ["t00", "t01", "t02", "t03", "t04"]
+
+
 def test_ties_copies_and_unusable_vectors(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(f"c{i}", same) for i in range(9)] + [("far", [3.0, -1.0, 0.5]), ("scaled", [2.0, 4.0, 6.0]), ("zero", [0.0] * 3), ("null", None), ("short", [1.0]), ("nan", [float("nan")] * 3), (None, same), ("c0", same)]
