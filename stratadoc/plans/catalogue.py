@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import sections, text
 from stratadoc.operators import answers, catalogue_views, context, evaluation, extract, ordered, search, upkeep, usage
+from stratadoc.plans import section_sql as sql
 from stratadoc.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,12 +26,12 @@ BLANKS = r"[\s\x{85}\x{1c}-\x{1f}\p{Z}]+"
 ONE_CHUNK = "(SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS n FROM chunks) WHERE n = 1)"
 
 
-def query(sql: str | None = None):
+def query(text_of: str | None = None):
     """Register a query, and the SQL for it if there is any."""
     def register(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if text_of:
+            ORACLES[f.__name__] = text_of
         return f
 
     return register
@@ -291,20 +292,50 @@ def chunk_ids(spark, sf_dir):
 # Sections
 
 
-@query()
+@query(f"""
+    WITH c AS {ONE_CHUNK}, f AS (SELECT id, n AS section, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM ({sql.numbers('c', 'text')}) WHERE {sql.STRICT})
+    SELECT id, section, string_agg({sql.kind('x')} || ' ' || {sql.value('x')} || ' ' || x, ';' ORDER BY i) AS segments FROM f GROUP BY id, section
+""")
 def section_candidates(spark, sf_dir):
     rows = chunks_once(spark, sf_dir, "text")
     found = rows.select("id", sections.candidate(F.col("text")).alias("section")).filter("section is not null")
-    return found.withColumn("segments", sections.segments_of(F.col("section")))
+    shown = F.transform(sections.segments_of(F.col("section")), lambda x: F.concat_ws(" ", x["type"], x["int_val"].cast("string"), x["raw"]))
+    return found.withColumn("segments", F.array_join(shown, ";"))
 
 
-@query()
+_HEADS = f"""
+    h AS (SELECT block_id, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: {sql.strip('x')}), lambda x: x <> '') AS l FROM blocks WHERE lower(trim(kind)) = 'heading'),
+    u AS (SELECT block_id, unnest(l[1:5]) AS line, generate_subscripts(l[1:5], 1) AS i FROM h),
+    m AS (SELECT block_id, min_by(n, i) AS n FROM ({sql.numbers('u', 'line')}) WHERE n <> '' AND {sql.COMMON} GROUP BY block_id),
+    k AS (SELECT block_id, min_by(k, i) AS k FROM (SELECT block_id, i, regexp_extract(line, '{sql.KEYWORD}', 1) AS k FROM u) WHERE k <> '' GROUP BY block_id),
+    heads AS (SELECT block_id, CASE WHEN l IS NOT NULL THEN coalesce(n, k, nullif(regexp_replace(l[1][1:50], '[.:;,\\- ]+$', ''), ''), 'UNKNOWN') END AS label FROM h LEFT JOIN m USING (block_id) LEFT JOIN k USING (block_id))"""
+
+
+@query(f"WITH {_HEADS} SELECT * FROM heads")
 def heading_labels(spark, sf_dir):
     heads = table(spark, sf_dir, "blocks").filter(F.lower(F.trim("kind")) == "heading")
     return heads.select("block_id", sections.heading_label(F.col("text")).alias("label"))
 
 
-@query()
+_NEW = f"list_transform(s, lambda x: struct_pack(v := lower(regexp_replace(x, '[()\\[\\].-]', '', 'g')), n := {sql.value('x')}, plain := x[1:1] NOT IN ('(', '[', '-'), raw := x))"
+_COMMON_PART = "coalesce(list_min(list_filter(range(1, least(len(now), len(o.s)) + 1), lambda i: now[i].v <> o.s[i].v)) - 1, least(len(now), len(o.s)))"
+_RISES = "o.s[{0}].n - now[{0}].n BETWEEN 1 AND 20"
+_FOLLOWS = f"""CASE WHEN now IS NULL THEN NOT (len(o.s) = 2 AND o.s[1].n < 100 AND len(list_filter(o.s, lambda x: NOT x.plain)) = 0)
+    WHEN len(o.s) > len(now) THEN {_COMMON_PART} = len(now) AND o.s[len(now) + 1].n <= 5
+    WHEN len(o.s) = len(now) AND len(now) > 1 AND {_COMMON_PART} = len(now) - 2 THEN {_RISES.format('len(now) - 1')}
+    ELSE {_COMMON_PART} >= len(o.s) - 1 AND {_RISES.format('len(o.s)')} END"""
+
+
+@query(f"""
+    WITH RECURSIVE c AS {ONE_CHUNK},
+    l AS (SELECT id, regexp_split_to_array({sql.strip('text')}, '\\r\\n|\\r|\\n')[1:10] AS l FROM c),
+    u AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM l),
+    o AS (SELECT id, list(struct_pack(line := i, s := {_NEW}) ORDER BY i) AS options FROM ({sql.numbers('u', 'line')}) WHERE {sql.STRICT} GROUP BY id),
+    r AS (SELECT source_file, chunk_index, options, row_number() OVER (PARTITION BY source_file ORDER BY chunk_index) AS r FROM c LEFT JOIN o USING (id)),
+    t AS (SELECT source_file, chunk_index, r, list_filter(options, lambda o: o.line < 2 OR NOT (len(o.s) = 2 AND o.s[1].n < 100 AND len(list_filter(o.s, lambda x: NOT x.plain)) = 0))[1].s AS now FROM r WHERE r = 1
+          UNION ALL SELECT r.source_file, r.chunk_index, r.r, coalesce(list_filter(r.options, lambda o: o.line < 2 OR {_FOLLOWS})[1].s, t.now) FROM t JOIN r ON r.source_file = t.source_file AND r.r = t.r + 1)
+    SELECT source_file, chunk_index, coalesce(array_to_string(list_transform(now, lambda x: x.raw), ''), 'UNKNOWN') AS section FROM t
+""")
 def section_tracker(spark, sf_dir):
     return ordered.tracked_sections(chunks_once(spark, sf_dir, "source_file", "chunk_index", "text"), "source_file", "chunk_index", "text")
 
@@ -357,7 +388,28 @@ def scanned_files(spark, sf_dir):
     return extract.scanned_files(pages).select("source_file", F.round("low_share", 6).alias("low_share"), "scanned")
 
 
-@query()
+@query(f"""
+    WITH {_HEADS}, q AS ({ORACLES['printed_pages']}),
+    a AS (SELECT source_file, b.block_id, text, page, lower(trim(kind)) AS kind, nullif(q.doc_page, '') AS shown, label, contains(lower(text), 'intentionally left blank') AS blank,
+                 coalesce((len(text) - len(replace(replace(text, '.', ''), '…', ''))) / nullif(len(text), 0), 0) <= 0.15 AND lower(trim(kind)) NOT IN ('header', 'footer') AS running
+          FROM blocks b LEFT JOIN q USING (block_id) LEFT JOIN heads USING (block_id)),
+    d AS (SELECT *, CASE WHEN running AND kind = 'heading' AND NOT blank THEN label END AS name FROM a),
+    f AS (SELECT *, coalesce(last_value(shown IGNORE NULLS) OVER w, 'UNKNOWN') AS doc_page, coalesce(last_value(CASE WHEN regexp_matches({sql.strip('name')}, '^\\d') OR regexp_matches({sql.strip('name')}, '{sql.KEYWORD}') THEN name END IGNORE NULLS) OVER w,
+                 last_value(name IGNORE NULLS) OVER w, 'UNKNOWN') AS section FROM d WINDOW w AS (PARTITION BY source_file ORDER BY block_id ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT source_file, block_id, page, doc_page, section, kind = 'heading' AS head, list_filter(regexp_split_to_array(text, '{BLANKS}'), lambda x: x <> '') AS w FROM f WHERE running AND NOT (kind = 'heading' AND blank)),
+    n AS (SELECT *, CASE WHEN head OR lag(section) OVER o IS NULL OR (section <> lag(section) OVER o AND section <> 'UNKNOWN' AND lag(section) OVER o <> 'UNKNOWN') THEN 1 ELSE 0 END AS new
+          FROM r WHERE len(w) > 0 WINDOW o AS (PARTITION BY source_file ORDER BY block_id)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY source_file ORDER BY block_id) AS seg FROM n),
+    p AS (SELECT *, sum(len(w)) OVER (PARTITION BY source_file, seg ORDER BY block_id) AS upto FROM g),
+    e AS (SELECT source_file, seg, CAST(max(upto) AS BIGINT) AS n, count(*) = 1 AND bool_and(head) AS alone, arg_min(head, block_id) AS opens, arg_max(struct_pack(page := page, doc_page := doc_page, section := section), block_id) AS tail FROM p GROUP BY ALL),
+    z AS (SELECT *, CASE WHEN n < 220 OR alone THEN 0 ELSE (n - 220) // 170 + 1 END AS whole, CASE WHEN lead(opens) OVER (PARTITION BY source_file ORDER BY seg) THEN 10 ELSE 30 END AS least FROM e),
+    j AS (SELECT *, unnest(range(0, whole + CASE WHEN n - whole * 170 >= least THEN 1 ELSE 0 END)) AS k FROM z),
+    v AS (SELECT source_file, seg, unnest(w) AS word, upto - len(w) + generate_subscripts(w, 1) - 1 AS pos FROM p),
+    x AS (SELECT source_file, seg, k, string_agg(word, ' ' ORDER BY pos) AS text FROM j JOIN v USING (source_file, seg) WHERE pos >= k * 170 AND pos < CASE WHEN k < whole THEN k * 170 + 220 ELSE n END GROUP BY ALL),
+    y AS (SELECT j.source_file, j.seg, j.k, arg_min(struct_pack(page := p.page, doc_page := p.doc_page, section := p.section), block_id) AS done FROM j JOIN p ON p.source_file = j.source_file AND p.seg = j.seg AND NOT head AND upto >= k * 170 + 220 WHERE k < whole GROUP BY ALL)
+    SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY seg, k) - 1 AS INTEGER) AS chunk_index, text, l.page AS page, l.doc_page AS doc_page, l.section AS section
+    FROM (SELECT source_file, seg, k, text, coalesce(done, tail) AS l FROM x JOIN j USING (source_file, seg, k) LEFT JOIN y USING (source_file, seg, k))
+""")
 def chunk_blocks(spark, sf_dir):
     return extract.chunked(extract.with_running_labels(table(spark, sf_dir, "blocks"), "source_file", "block_id"))
 
@@ -378,17 +430,32 @@ def neighbor_expand(spark, sf_dir):
 
 @query(f"""
     SELECT source_file, CASE WHEN coalesce(section, '') IN ('', 'UNKNOWN') THEN '' ELSE section END AS section, count(*) AS hits
-    FROM {ONE_CHUNK} WHERE chunk_index % 50 = 0 GROUP BY source_file, CASE WHEN coalesce(section, '') IN ('', 'UNKNOWN') THEN id ELSE '=' || section END, 2
+    FROM {ONE_CHUNK} GROUP BY source_file, CASE WHEN coalesce(section, '') IN ('', 'UNKNOWN') THEN id ELSE '=' || section END, 2
 """)
 def group_sections(spark, sf_dir):
-    chunks = chunks_once(spark, sf_dir, "source_file", "section", "chunk_index", "text")
-    hits = chunks.filter(F.col("chunk_index") % 50 == 0).withColumns({"query_id": F.lit(1), "place": F.col("id"), "context": F.col("text")})
-    sources = context.grouped(hits.drop("text"))
+    hits = chunks_once(spark, sf_dir, "source_file", "section").withColumns({"query_id": F.col("source_file"), "place": F.col("id"), "context": F.lit("")})
+    sources = context.grouped(hits)
     known = F.when(F.coalesce("section", F.lit("")).isin("", "UNKNOWN"), F.lit("")).otherwise(F.col("section"))
     return sources.select("source_file", known.alias("section"), F.size("places").cast("long").alias("hits"))
 
 
-@query()
+_LINES = "list_filter(string_split({0}, chr(10)), lambda x, i: list_position(list_transform(string_split({0}, chr(10)), lambda y: {1}), {2}) = i)"
+
+
+@query(f"""
+    WITH c AS {ONE_CHUNK},
+    h AS (SELECT *, CASE WHEN coalesce(section, '') IN ('', 'UNKNOWN') THEN '#' || chunk_index ELSE '=' || section END AS source FROM c WHERE chunk_index % 50 = 0),
+    n AS (SELECT h.id, c.chunk_index, min(c.text) AS text FROM h JOIN c ON c.source_file = h.source_file AND c.section = h.section AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 2 AND c.chunk_index <> h.chunk_index GROUP BY ALL
+          UNION ALL SELECT id, chunk_index, text FROM h),
+    x AS (SELECT id, list(text ORDER BY chunk_index, text) AS parts FROM n GROUP BY id),
+    e AS (SELECT h.*, {sql.without_overlap('parts')} AS context FROM h JOIN x USING (id)),
+    g AS (SELECT source_file, source, list(context ORDER BY chunk_index, context) AS contexts, min(chunk_index) AS start, min_by(section, chunk_index) AS section,
+                 min_by(coalesce(llm_corrected_section, FALSE), chunk_index) AS marked, min_by(coalesce(doc_page, 'UNKNOWN'), chunk_index) AS doc_page FROM e GROUP BY ALL),
+    m AS (SELECT *, {sql.without_overlap('contexts')} AS whole, row_number() OVER (PARTITION BY source_file ORDER BY start) AS idx FROM g),
+    u AS (SELECT *, array_to_string({_LINES.format('whole', sql.strip('y'), sql.strip('x'))}, chr(10)) AS context FROM m)
+    SELECT source_file AS query_id, string_agg('--- SOURCE ' || idx || ' ---' || chr(10) || CASE WHEN len(context) > 1000 THEN context[1:1000] || '...' ELSE context END || chr(10) || chr(10) || '[SRC_' || idx || '] Document: '
+        || source_file || ' ' || section || CASE WHEN marked THEN ' [llm corrected]' ELSE '' END || ', page ' || doc_page || chr(10) || '---', chr(10) || chr(10) ORDER BY idx) AS prompt FROM u GROUP BY source_file
+""")
 def context_blocks(spark, sf_dir):
     chunks = chunks_once(spark, sf_dir, "source_file", "section", "chunk_index", "text", "doc_page", "llm_corrected_section")
     hits = chunks.filter(F.col("chunk_index") % 50 == 0).withColumns({"query_id": F.col("source_file"), "place": F.col("chunk_index")})
@@ -437,7 +504,11 @@ def nested_catalog(spark, sf_dir):
     return catalogue_views.nested(table(spark, sf_dir, "standards_catalog"))
 
 
-@query()
+@query("""
+    WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY file_link NULLS FIRST) AS r FROM standards_catalog WHERE source_file <> '') WHERE r = 1)
+    SELECT to_json(list(struct_pack(agency := coalesce(agency, ''), source_file := source_file, jurisdiction := coalesce(jurisdiction, ''), state := coalesce(state, ''), locality := coalesce(locality, ''),
+                                    file_link := coalesce(file_link, '')) ORDER BY coalesce(agency, ''), source_file))::VARCHAR AS catalogue FROM f
+""")
 def catalog_json(spark, sf_dir):
     return catalogue_views.catalogue_json(catalogue_views.catalogue(table(spark, sf_dir, "standards_catalog"), "file_link"))
 
@@ -478,9 +549,10 @@ def retag_refresh(spark, sf_dir):
     return upkeep.refreshed(chunks, _paths(table(spark, sf_dir, "standards_catalog"))).select("id", "source_file", "jurisdiction", "agency", "state", "locality")
 
 
-@query("SELECT DISTINCT source_file FROM blocks WHERE source_file NOT IN (SELECT source_file FROM standards_catalog WHERE agency <> 'UNKNOWN')")
+@query("SELECT DISTINCT source_file FROM blocks WHERE source_file NOT IN (SELECT source_file FROM standards_catalog WHERE jurisdiction <> 'LOCAL')")
 def stale_files(spark, sf_dir):
-    there = _paths(table(spark, sf_dir, "standards_catalog").filter(F.col("agency") != "UNKNOWN"))
+    """As if the folder of local files were gone."""
+    there = _paths(table(spark, sf_dir, "standards_catalog").filter(F.col("jurisdiction") != "LOCAL"))
     return upkeep.stale_files(table(spark, sf_dir, "blocks"), there)
 
 
@@ -533,7 +605,16 @@ def page_texts(spark, sf_dir):
     return upkeep.page_texts(chunks_once(spark, sf_dir, "source_file", "page", "chunk_index", "text"))
 
 
-@query()
+_PAGE_OF = r"""coalesce(nullif(regexp_extract({0}, '(?:Page|PAGE)\s+(\d+)$', 1), ''), nullif(regexp_extract({0}, '(\d{{1,4}}-\d{{1,4}})$', 1), ''), nullif(regexp_extract({0}, '(?:^|\D)(\d{{1,4}})$', 1), ''))"""
+
+
+@query(f"""
+    WITH c AS {ONE_CHUNK},
+    p AS (SELECT source_file, page, string_agg(text, chr(10) ORDER BY chunk_index, text) AS text, CASE WHEN min(section) = max(section) THEN min(section) END AS section FROM c GROUP BY ALL),
+    l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: {sql.strip('x')}), lambda x: x <> '')[-1] AS line FROM p),
+    s AS (SELECT *, {_PAGE_OF.format('line')} AS shown, nullif(regexp_extract(text[1:500], '(?:^|\\D)(\\d{{1,4}}-\\d{{1,4}})(?:\\D|$)', 1), '') AS pair FROM l)
+    SELECT source_file, page, coalesce(CASE WHEN shown <> coalesce(section, '') AND NOT regexp_full_match(shown, '\\d{{4}}') AND CAST(string_split(shown, '-')[-1] AS BIGINT) < 2000 THEN shown END, pair, 'UNKNOWN') AS doc_page FROM s
+""")
 def redetected_pages(spark, sf_dir):
     return upkeep.redetected_pages(chunks_once(spark, sf_dir, "source_file", "page", "chunk_index", "text", "section"))
 
