@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import ChainMap, Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -131,8 +132,9 @@ class Lexicon:
         self.unknown = math.log(self.total) + 6
         self.least = min([*cost.values(), *([base.least] if base else [])], default=0.0)
         self.longest = max([*map(len, own), *([base.longest] if base else [])], default=0)
+        self.words = sorted(own)
         self.by_look: dict[str, list[str]] = {}
-        for w in own:
+        for w in self.words:
             if sum(c.isalpha() for c in w) > 1 and not _REFERENCE.fullmatch(w.upper()):
                 self.by_look.setdefault(look(w), []).append(w)
         self.base = base
@@ -141,6 +143,11 @@ class Lexicon:
     def more(self, counts: list[tuple[str, int, int]]) -> Lexicon:
         return Lexicon(counts, self)
 
+    def begins(self, low: str) -> bool:
+        """Whether a known word begins so."""
+        at = bisect_left(self.words, low)
+        return at < len(self.words) and self.words[at].startswith(low) or bool(self.base and self.base.begins(low))
+
     def _looking(self, form: str) -> Iterator[str]:
         yield from self.by_look.get(form, ())
         if self.base:
@@ -353,14 +360,16 @@ class Lattice:
     def __init__(self, tokens: list[Token], lexicon: Lexicon):
         self.tokens, self.lexicon = tokens, lexicon
         self.parts = [_bare(t.text) for t in tokens]
+        self.reads = [lexicon.read(w) if w else (0.0, w) for _, w, _ in self.parts]
+        self.known = [c <= lexicon.unknown and m == w for (c, m), (_, w, _) in zip(self.reads, self.parts)]
         self.best: list[dict[int, tuple[float, tuple[int, int] | None, Reading | None]]] = [{} for _ in range(len(tokens) + 1)]
         self.best[0][0] = (0.0, None, None)
 
     def path(self) -> list[Reading]:
-        for i in range(len(self.tokens)):
+        for i, places in enumerate(self.best[:-1]):
             done: set[int] = set()
-            while todo := self.best[i].keys() - done:
-                k = min(todo)
+            while len(done) < len(places):
+                k = min(places.keys() - done) if len(places) > 1 else 0 if 0 in places else min(places)
                 done.add(k)
                 self._from(i, k)
         out, at = [], (len(self.tokens), 0)
@@ -378,7 +387,7 @@ class Lattice:
         """Every word that may begin at a place."""
         lexicon, token, (front, whole, back) = self.lexicon, self.tokens[i], self.parts[i]
         word, lead = whole[k:], "" if k else front
-        cost, meant = lexicon.read(word) if word else (0.0, word)
+        cost, meant = lexicon.read(word) if k and word else self.reads[i]
         known = cost <= lexicon.unknown and meant == word
         if known:
             self._offer(i, k, (i + 1, 0), cost, lead + word + back)
@@ -394,7 +403,7 @@ class Lattice:
         if i + 1 < len(self.tokens):
             if token.last and re.search(rf"[^\W_][{HYPHENS}]$", token.text):
                 self._over_line_end(i, k, lead)
-            elif _LETTERS.fullmatch(word) and not back:
+            elif word and not back and not self.parts[i + 1][0]:
                 self._over_blanks(i, k, lead, word, cost, known)
 
     def _within(self, i: int, k: int, lead: str, word: str, readable: bool) -> None:
@@ -408,12 +417,15 @@ class Lattice:
 
     def _over_blanks(self, i: int, k: int, lead: str, word: str, cost: float, known: bool) -> None:
         """Words that go on over one blank or several, as far as known words reach."""
-        apart, joined, sound, j = cost, word, known, i + 1
-        while j < len(self.tokens) and not self.parts[j][0] and self.parts[j][1] and len(joined) + len(self.parts[j][1]) <= self.lexicon.longest + 1:
-            rest = self.parts[j][1]
-            own, meant = self.lexicon.read(rest)
-            sound, apart, joined = sound and own <= self.lexicon.unknown and meant == rest, apart + own, joined + rest
+        apart, joined, sound, j, most = cost, word, known, i + 1, self.lexicon.longest + 1
+        while j < len(self.tokens):
+            mark, rest, _ = self.parts[j]
+            if mark or not rest or len(joined) + len(rest) > most:
+                break
+            sound, apart, joined = sound and self.known[j], apart + self.reads[j][0], joined + rest
             low = joined.lower()
+            if sound and not self.lexicon.begins(low):
+                break
             if low in self.lexicon.cost:
                 self._offer(i, k, (j + 1, 0), self.lexicon.cost[low] + BLANK * (j - i), lead + joined + self.parts[j][2])
             elif not sound and apart > BLANK * (j - i) + CONFUSED + self.lexicon.least and len(joined) >= 5 and _LETTERS.fullmatch(joined) and (near := self.lexicon.meant(low)):
