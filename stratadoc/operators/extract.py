@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions.sections import heading_label, looks_real
 from stratadoc.functions.text import CAPTION, LIST_MARK, SENTENCE_BREAK, WEB_ADDRESS, clean_page_text, is_toc, printed_page, stripped, words
-from stratadoc.operators.ordered import forward_fill, lagged, numbered, running_total
+from stratadoc.operators.ordered import forward_fill, lagged, numbered, running_totals
 from stratadoc.schema import UNKNOWN
 from stratadoc.session import cut
 
@@ -116,7 +116,7 @@ def chunked(blocks: DataFrame, file: str = "source_file", order: str = "block_id
     slim = lagged(slim, file, "at", "state", "last")
     moved = (F.col("section") != F.col("last.section")) & (F.col("section") != UNKNOWN) & (F.col("last.section") != UNKNOWN)
     starts = slim.withColumn("new", F.when(F.col("head") | moved | F.col("last").isNull(), 1).otherwise(0))
-    placed = cut(running_total(cut(running_total(starts, file, "at", "new", "segment")), file, "at", "count", "end"))
+    placed = cut(running_totals(starts, file, "at", {"new": "segment", "count": "end"}))
     segments = placed.groupBy(file, "segment").agg(
         (F.max("end") - F.min(F.col("end") - F.col("count"))).alias("n"),
         F.min(F.col("end") - F.col("count")).alias("base"),

@@ -47,15 +47,15 @@ def lagged(df: DataFrame, key: str, order: str, column: str, name: str, span: in
     return joined.select(*df.columns, F.coalesce(own, F.col("_before"))["v"].alias(name))
 
 
-def running_total(df: DataFrame, key: str, order: str, column: str, name: str, span: int = SPAN) -> DataFrame:
-    """``df`` with the sum of ``column`` up to and with each row."""
+def running_totals(df: DataFrame, key: str, order: str, names: dict[str, str], span: int = SPAN) -> DataFrame:
+    """``df`` with the sum of each column up to and with each row, under its name in ``names``; one pass for all of them."""
     spans = df.withColumn("_span", F.floor(F.col(order) / span))
-    sums = spans.groupBy(key, "_span").agg(F.sum(column).alias("_sum"))
+    sums = spans.groupBy(key, "_span").agg(*(F.sum(c).alias(f"_{c}") for c in names))
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(F.col(key).alias("_key"), F.col("_span").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    carried = sums.select(F.col(key).alias("_key"), F.col("_span").alias("_at"), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in names))
     within = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = spans.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_at")))
-    return joined.select(*df.columns, (F.sum(column).over(within) + F.col("_before")).alias(name))
+    return joined.select(*df.columns, *((F.sum(c).over(within) + F.col(f"_{c}")).alias(n) for c, n in names.items()))
 
 
 def numbered(df: DataFrame, key: str, order: list[str], name: str, span_of: Column) -> DataFrame:

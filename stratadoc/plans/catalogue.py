@@ -726,12 +726,39 @@ def eval_compare(spark, sf_dir):
 # Answers
 
 
-@query()
+
+
+def _shown(c: str) -> str:
+    return sql.strip(f"regexp_replace({c}, '(?s)<think>.*?</think>', '', 'g')")
+
+
+_MARKER = r"\^\^\^(?:[0-9]+|FAIL)\^\^\^"
+# token by token: each step takes a token, or goes on with what waits after a line was sent
+_STREAM = f"""
+    WITH RECURSIVE r AS (SELECT log_id, coalesce(response, '') AS a FROM query_log),
+    t AS (SELECT log_id, a, 0 AS step, 0 AS upto, '' AS waiting, FALSE AS cited, '' AS kind, '' AS part, '' AS mark FROM r
+        UNION ALL SELECT log_id, a, step + 1, upto, substr(w, used + 1), cited OR kind = 'source', kind, CASE WHEN mark <> '' THEN w[1:used - len(mark)] ELSE w[1:used] END, mark
+        FROM (SELECT *, CASE WHEN mark LIKE '%FAIL%' THEN 'fail' WHEN mark <> '' THEN 'source' WHEN line > 0 AND len(w) - line >= 11 THEN 'line' WHEN len(w) - 11 > 80 THEN 'run' ELSE '' END AS kind,
+                CASE WHEN mark <> '' THEN strpos(w, mark) + len(mark) - 1 WHEN line > 0 AND len(w) - line >= 11 THEN line WHEN len(w) - 11 > 80 THEN len(w) - 11 ELSE 0 END AS used
+            FROM (SELECT *, strpos(w, chr(10)) AS line, CASE WHEN again THEN '' ELSE regexp_extract(w, '{_MARKER}') END AS mark
+                FROM (SELECT log_id, a, step, cited, kind = 'line' AS again, CASE WHEN kind = 'line' THEN upto ELSE upto + 4 END AS upto, CASE WHEN kind = 'line' THEN waiting ELSE waiting || a[upto + 1:upto + 4] END AS w
+                    FROM t WHERE kind = 'line' OR upto < len(a))))),
+    p AS (SELECT log_id, step, kind, part, mark, cited FROM t WHERE kind <> ''
+        UNION ALL SELECT log_id, 1000000000, 'run', arg_max(waiting, step), '', FALSE FROM t GROUP BY log_id),
+    e AS (SELECT log_id, step, 0 AS sub, 'text' AS type, {_shown('part')} || CASE WHEN kind = 'line' THEN chr(10) ELSE '' END AS text, NULL::INTEGER AS n, NULL::VARCHAR AS raw FROM p WHERE kind <> 'fail' AND {_shown('part')} <> ''
+        UNION ALL SELECT log_id, step, 1, 'source_block', NULL, CAST(regexp_extract(mark, '[0-9]+') AS INTEGER), NULL FROM p WHERE kind = 'source'
+        UNION ALL SELECT log_id, step, 1, 'fail', '{answers.DECLINED}', NULL, NULL FROM p WHERE kind = 'fail' AND NOT cited
+        UNION ALL SELECT log_id, 1000000001, 0, 'done', NULL, NULL, {_shown('a')} FROM r),
+    s AS (SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY step, sub) - 1 AS INTEGER) AS seq, type, text, n, raw FROM e)"""
+
+
+@query(f"{_STREAM} SELECT * FROM s")
 def stream_parse(spark, sf_dir):
     return answers.parsed(table(spark, sf_dir, "query_log"), "log_id", "response")
 
 
-@query()
+@query(f"""{_STREAM} SELECT log_id, {sql.strip("coalesce(string_agg(CASE type WHEN 'text' THEN text WHEN 'source_block' THEN chr(10) || '^^^' || n || '^^^' || chr(10) WHEN 'fail' THEN '^^^FAIL^^^' END, '' ORDER BY seq), '')")} AS response,
+    min(seq) FILTER (WHERE type = 'text') AS first_text FROM s GROUP BY log_id""")
 def answer_rebuilt(spark, sf_dir):
     return answers.rebuilt(stream_parse(spark, sf_dir), "log_id")
 

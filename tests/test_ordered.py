@@ -24,7 +24,7 @@ def test_forward_fill_across_spans(spark):
 def test_lag_total_and_number_across_spans(spark):
     rows = [(f, i * 3 % 97, str(i)) for f in ("a", "b") for i in range(50)]
     df = frame(spark, rows).selectExpr("*", "i % 5 AS v")
-    out = ordered.numbered(ordered.running_total(ordered.lagged(df, "f", "i", "c", "p", span=10), "f", "i", "v", "t", span=10), "f", ["i"], "n", (ordered.F.floor(ordered.F.col("i") / 10)))
+    out = ordered.numbered(ordered.running_totals(ordered.lagged(df, "f", "i", "c", "p", span=10), "f", "i", {"v": "t"}, span=10), "f", ["i"], "n", (ordered.F.floor(ordered.F.col("i") / 10)))
     for f in ("a", "b"):
         mine = sorted((r for r in out.collect() if r.f == f), key=lambda r: r.i)
         assert [r.p for r in mine] == [None, *(r.c for r in mine[:-1])]
