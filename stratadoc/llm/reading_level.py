@@ -22,8 +22,9 @@ from stratadoc.session import cut
 
 BANDS = 4
 LEAST_WORDS = 40
-#: Units kept of each kind, the ones in most rated documents; a unit must be in LEAST_DOCUMENTS of them.
-VOCABULARY, LEAST_DOCUMENTS = 1 << 17, 3
+#: A unit is known if LEAST_DOCUMENTS rated documents hold it, and more than the share RARE of them; so there are at
+#: most as many as a mean document has, divided by RARE, however many documents are rated.
+LEAST_DOCUMENTS, RARE = 3, 1 / 8192
 #: Rated documents the classifier is fitted on, at most about.
 FIT_ROWS = 20_000
 CELLS = 64
@@ -120,7 +121,7 @@ def fit_classifier(x: np.ndarray, band: np.ndarray, steps: int = 1500, rate: flo
     return centre, scale, weight
 
 
-def train(documents: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, fit_rows: int = FIT_ROWS) -> Level:
+def train(documents: DataFrame, labels: DataFrame, rare: float = RARE, fit_rows: int = FIT_ROWS) -> Level:
     """Grades from all rated documents, the classifier from about ``fit_rows`` of them, chosen by a hash of
     their key. Several ratings of a document are averaged."""
     rated = labels.filter(F.col("band").between(1, BANDS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("band")).cast("int").alias("band"))
@@ -144,10 +145,10 @@ def train(documents: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), kind, dtype=np.int32)), pa.array(unit.view(np.int64)), pa.array(found), *map(pa.array, columns)], names=["kind", "unit", "found", *SHARES])
 
     sums = rated.mapInArrow(count, "kind int, unit bigint, found bigint, " + ", ".join(f"{s} double" for s in SHARES))
-    sums = cut(sums.groupBy("kind", "unit").agg(*(F.sum(c).alias(c) for c in ("found", *SHARES))).filter(F.col("found") >= LEAST_DOCUMENTS))
+    sums = cut(sums.groupBy("kind", "unit").agg(*(F.sum(c).alias(c) for c in ("found", *SHARES))).filter(F.col("found") >= max(LEAST_DOCUMENTS, rare * sum(size.values()))))
     hashes, cells = [], []
     for kind in (0, 1):
-        top = sums.filter(F.col("kind") == kind).orderBy(F.desc("found"), "unit").limit(vocabulary).select("unit", *SHARES).toArrow()
+        top = sums.filter(F.col("kind") == kind).select("unit", *SHARES).toArrow()
         rate = np.column_stack([top.column(s).to_numpy() / size.get(b, 1) for b, s in enumerate(SHARES, 1)])
         rate = rate + rate.sum(axis=1, keepdims=True) * SMOOTHING
         grade = rate @ np.arange(BANDS) / np.maximum(rate.sum(axis=1), 1e-12) / (BANDS - 1)

@@ -39,19 +39,18 @@ def depths(words: list[str], at: np.ndarray, side: int = SIDE) -> np.ndarray:
     highest similarity reached on its left and on its right before it falls again."""
     keys = [re.sub(r"\W", "", w.lower()) for w in words]
     _, number = np.unique(np.array(keys, dtype=object).astype(str), return_inverse=True)
-    size, near = number.max() + 1, np.zeros(len(at))
+    near = np.zeros(len(at))
     for k, i in enumerate(at):
-        a, b = (np.bincount(x, minlength=size) for x in (number[max(0, i - side) : i], number[i : i + side]))
+        first = max(0, i - side)
+        words_here, place = np.unique(number[first : i + side], return_inverse=True)
+        a, b = (np.bincount(x, minlength=len(words_here)) for x in (place[: i - first], place[i - first :]))
         near[k] = a @ b / np.sqrt((a @ a) * (b @ b))
-    out = np.zeros(len(at))
-    for k in range(len(at)):
-        left = right = k
-        while left > 0 and near[left - 1] >= near[left]:
-            left -= 1
-        while right < len(at) - 1 and near[right + 1] >= near[right]:
-            right += 1
-        out[k] = near[left] + near[right] - 2 * near[k]
-    return out
+    left, right = near.copy(), near.copy()  # the highest reached without falling on the way, from either side
+    for k in range(1, len(at)):
+        left[k] = left[k - 1] if near[k - 1] >= near[k] else near[k]
+    for k in range(len(at) - 2, -1, -1):
+        right[k] = right[k + 1] if near[k + 1] >= near[k] else near[k]
+    return left + right - 2 * near
 
 
 def cut_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[dict]:
