@@ -153,6 +153,9 @@ class VersionedTable:
             stream.close()
         return int(newest.getPath().getName()), entries
 
+    def holds(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def exists(self) -> bool:
         return bool(self._live()[1])
 

@@ -74,6 +74,27 @@ class Engine:
         self._facets = None
         return upkeep.stale_files(table, files)
 
+    def preview(self, blocks: DataFrame, n: int = 15) -> DataFrame:
+        """The first ``n`` blocks of each file as they would be chunked, with their labels; nothing is written."""
+        labelled = extract.with_running_labels(blocks, "source_file", "block_id")
+        return ordered.numbered(labelled, "source_file", ["block_id"], "place", F.floor(F.col("block_id") / ordered.SPAN)).filter(F.col("place") < n)
+
+    def reset(self) -> None:
+        """Empty the chunk table; logs stay."""
+        self.table.reset(schema.CHUNK)
+        self._facets = None
+
+    def index_texts(self) -> str:
+        """Write the full-text index of the table as it is now, sorted by term so that a query reads few row groups.
+        Returns its folder; answers use it until the table changes."""
+        folder = f"{self.folder}/text_index/{self.table._live()[0]}"
+        search.postings(self.chunks(), "id", "text", search.FACETS).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(folder)
+        return folder
+
+    def _text_index(self) -> DataFrame | None:
+        folder = f"{self.folder}/text_index/{self.table._live()[0]}"
+        return self.spark.read.parquet(folder) if self.table.holds(f"{folder}/_SUCCESS") else None
+
     # Corrections
 
     def corrections(self) -> DataFrame:
@@ -104,7 +125,7 @@ class Engine:
         shown = schema.with_missing_columns(requests, schema.REQUEST).withColumn("_input", F.concat(F.lit(self.query_prefix), "query"))
         asked = cut(self.embed(shown, "_input").drop("_input"))
         chunks = self.chunks()
-        hits = cut(search.retrieve(chunks, asked, most=distance, floor=self.settings.rerank_floor).withColumn("place", F.col("rerank_place")))
+        hits = cut(search.retrieve(chunks, asked, most=distance, floor=self.settings.rerank_floor, index=self._text_index()).withColumn("place", F.col("rerank_place")))
         sources = context.grouped(context.expanded(hits, chunks))
         line = F.struct("idx", search.extractive_answer(F.col("context"), F.col("idx")).alias("line"))
         said = sources.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("answer"))
@@ -116,8 +137,21 @@ class Engine:
         return out.select("query_id", "prompt", "answer")
 
     def events(self, answered: DataFrame) -> DataFrame:
-        """The events a client gets for each answer."""
-        return answers.parsed(answered, "query_id", "answer")
+        """The events a client gets for each answer; one with a ``message`` of what failed gets an error."""
+        failed = answered.filter("message is not null").select("query_id", "message") if "message" in answered.columns else None
+        return answers.framed(answers.parsed(answered, "query_id", "answer"), "query_id", failed=failed)
+
+    def admitted(self, requests: DataFrame) -> DataFrame:
+        """Those of ``requests`` (``request_id, client, ts`` and more) within the daily limit; the others are logged."""
+        checked = cut(usage.within_quota(requests, "client", "ts", "request_id", self.settings.daily_limit))
+        readers.append_lines(checked.filter(~F.col("allowed")).withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), f"{self.folder}/rate_limited", "at", "client")
+        return checked.filter("allowed").drop("allowed")
+
+    def smoke(self) -> dict[str, object]:
+        """One fixed question through the whole of retrieval."""
+        asked = self.spark.createDataFrame([("smoke", "What are the requirements for fall protection?")], "query_id string, query string")
+        row = self.answer(asked, distance=4.0).first()
+        return {"ok": row is not None, "failed": row.answer == "^^^FAIL^^^"}
 
     # Catalogue and usage
 
@@ -150,6 +184,13 @@ class Engine:
         log = readers.json_log(self.spark, f"{self.folder}/usage", "kind string, key string, client string, ts string, delta int")
         return usage.net_counts(log.withColumn("delta", F.coalesce("delta", F.lit(1))), ["kind", "key"])
 
+    def dashboard(self, days: int = 30) -> tuple[list[tuple[str, int]], dict[str, int]]:
+        """Queries of each of the last days, and the totals of the week and of all time."""
+        log = readers.json_log(self.spark, f"{self.folder}/usage", "kind string, key string, client string, ts string, delta int")
+        counts = usage.by_day(log.filter("kind = 'query'").withColumn("ts", F.to_timestamp("ts")))
+        series = usage.series(counts, F.current_date(), days).orderBy("day").collect()
+        return [(r.day, r.n) for r in series], usage.totals(counts, F.current_date()).first().asDict()
+
     def request_document(self, requests: DataFrame) -> DataFrame:
         """Log requests for documents (``document, notes, email``) that name one and are within bounds; returns the rest."""
         checked = schema.request_problems(requests)
