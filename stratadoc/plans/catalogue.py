@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.functions import sections, text
-from stratadoc.operators import answers, catalogue_views, context, evaluation, extract, ordered, search, upkeep, usage
+from stratadoc.operators import answers, catalogue_views, cells, context, evaluation, extract, ordered, search, upkeep, usage
 from stratadoc.plans import section_sql as sql
 from stratadoc.session import cut, table
 
@@ -84,6 +84,14 @@ def knn_batch_topk(spark, sf_dir):
     return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query()
+def knn_cells_topk(spark, sf_dir):
+    """The same by the approximate index, over the chunks' vectors."""
+    rows = chunks_once(spark, sf_dir, "vector", "chunk_index")
+    index = cells.CellIndex(rows)
+    return index.search(rows.filter(F.col("chunk_index") % 50 == 0), 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 # Full text
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stratadoc import config, schema
-from stratadoc.operators import catalogue_views, context, evaluation, search, upkeep, usage
+from stratadoc.operators import catalogue_views, cells, context, evaluation, search, upkeep, usage
 from stratadoc.sources import readers
 from pyspark.sql import functions as F
 
@@ -187,3 +187,18 @@ def test_quota_of_a_client_with_most_events(spark):
     for i, c, t in sorted(rows, key=lambda r: (r[2] or "", r[0])):
         by.setdefault((c, (t or "")[:10]), []).append(i)
     assert got == {i: c == "c1" or i in by[c, (t or "")[:10]][:4] for i, c, t in rows}
+
+
+def test_recall_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PART_ROWS", 60)
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(30, 16))
+    rows = [(f"v{i:04}", (middle[0 if i % 3 == 0 else i % 30] + 0.5 * rng.normal(size=16)).tolist(), "ab"[i % 2]) for i in range(3000)]
+    rows += [("null", None, "a"), ("empty", [], "a"), ("short", [1.0, 2.0], "a"), ("short2", [1.0, 2.5], None)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>, state string")
+    index = cells.CellIndex(df, facets=("state",))
+    asked = df.filter("id like '%0' or id = 'short'").select(F.col("id").alias("q"), "vector", F.lit("a").alias("filter_state"))
+    got, exact = ({(r.query_id, r.id) for r in x.collect()} for x in (index.search(asked, 5, query_id="q"), search.nearest_to_each(df, asked, 5, "vector", "id", "q", ("state",))))
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact) and ("short", "short") in got
+    assert index.rows.groupBy("_cell", "_part").count().agg(F.max("count")).first()[0] < 200
+    assert cells.CellIndex(df.limit(0)).search(df.limit(0), 3).count() == 0
