@@ -102,3 +102,24 @@ def answered(prompts: DataFrame, call: Callable[[str, dict], str], hosts: Sequen
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(failed, pa.string())], names=[*batch.schema.names, "answer", "message"])
 
     return prompts.mapInArrow(run, T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType()), T.StructField("message", T.StringType())]))
+
+
+def recognised(pages: DataFrame, call: Callable[[bytes, str], str], least: int = 50) -> DataFrame:
+    """``pages`` (``image``, a rendered page) with ``text`` by ``call(image, mode)``: the mode ``page`` first, and
+    ``block`` where that finds fewer than ``least`` characters. A null image, or one that cannot be read, has a null text."""
+
+    def read(image: bytes | None) -> str | None:
+        if image is None:
+            return None
+        try:
+            text = call(image, "page")
+            return text if len(text.strip()) >= least else call(image, "block")
+        except Exception:
+            return None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [read(x) for x in batch.column(batch.schema.get_field_index("image")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "text"])
+
+    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -36,8 +36,24 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self.table.open_or_create(schema.CHUNK)
 
+    def lookup(self, id: str) -> DataFrame:
+        """The chunk of one id, if there is one."""
+        return self.chunks().filter(F.col("id") == id).limit(1)
+
+    def remove(self, condition: Column) -> None:
+        """Delete the chunks for which ``condition`` holds; this writes the table again."""
+        self.table.publish(upkeep.without(self.chunks(), condition))
+        self._facets = None
+
     # Ingestion
 
+    @staticmethod
+    def blocks_of(pages: DataFrame) -> DataFrame:
+        """Blocks to ingest of pages of spans (``readers.page_spans`` or ``parsed_pages``): styled, classified, headings
+        made consistent within each file, numbered in order of pages and places."""
+        made = extract.consistent_headings(extract.classified(extract.styled_blocks(pages)))
+        return made.withColumn("block_id", F.col("page").cast("long") * 100_000 + F.col("block_no")).withColumnRenamed("file", "source_file")
+
     def ingest(self, blocks: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
         """Add the files of ``blocks`` (``block_id, source_file, text, kind, page``) whose places are in ``files``
         (``path, file_link``); files the table holds are passed over, or replaced with ``force``. Returns the

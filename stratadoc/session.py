@@ -28,6 +28,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read on from there: computed once, safe against lost executors."""
+    """Write ``df`` to the checkpoint folder and read on from there: computed once, safe against lost executors.
+
+    What is written goes when its frame is no longer used, if the session is started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; else with the folder.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +94,24 @@ def sse_lines(events: DataFrame) -> DataFrame:
 def page_spans(spark: SparkSession, path: str) -> DataFrame:
     """Pages of spans, as a PDF reader leaves them, from JSON lines."""
     return spark.read.schema(schema.SPAN_PAGE).json(path)
+
+
+def parsed_pages(spark: SparkSession, root: str, read: Callable[[bytes], list[dict]], pattern: str = "*.pdf") -> DataFrame:
+    """Pages of spans of the files below ``root``: ``read`` makes a list of pages (``page, width, height, blocks``) of a
+    file's bytes. A file it fails on has no pages. One file is one row, so it must fit into a worker."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, values = [], []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    pages = read(content)
+                except Exception:
+                    continue
+                names += [path.rsplit("/", 1)[-1]] * len(pages)
+                values += [json.dumps(p) for p in pages]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], names=["file", "value"])
+
+    parsed = files.mapInArrow(run, "file string, value string").select("file", F.from_json("value", schema.SPAN_PAGE).alias("p"))
+    return parsed.select("file", *(f"p.{c}" for c in ("page", "width", "height", "blocks")))

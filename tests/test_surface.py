@@ -3,11 +3,13 @@ import threading
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratadoc import __main__ as cli
 from stratadoc import serve
 from stratadoc.operators import models, search
 from stratadoc.plans.engine import Engine
+from stratadoc.sources import readers
 from tests.test_engine import blocks
 
 
@@ -114,3 +116,33 @@ def test_models_behind_services(spark):
     said = {r.query_id: (r.answer, r.message) for r in models.answered(asked, lambda host, x: "- A.\n^^^1^^^" if "bad" not in x["prompt"] else 1 / 0, ["x"], "m", wait=0).collect()}
     assert said == {1: ("- A.\n^^^1^^^", None), 2: (None, "division by zero")}
     assert search.FACETS
+
+
+def test_pages_of_files_become_chunks(spark, tmp_path):
+    def read(content):
+        name = content.decode()
+        if name == "broken":
+            raise ValueError(name)
+        span = lambda t, size, bold=0: {"spans": [{"text": t, "size": size, "font": "Roman", "flags": 16 * bold}]}
+        block = lambda y, *lines: {"type": 0, "bbox": [50.0, y, 550.0, y + 20], "lines": list(lines)}
+        body = [span(f"Every culvert of the {name} shall be inspected before each shift.", 10.0) for _ in range(40)]
+        return [{"page": p, "width": 612.0, "height": 792.0, "blocks": [block(100.0, span("5.2 Drainage of the road", 16.0, 1)), block(300.0, *body), block(760.0, span(f"Manual of works Page {p}", 8.0))]} for p in (1, 2)]
+
+    (tmp_path / "STATE/WA/wsdot").mkdir(parents=True)
+    for name, content in (("a.pdf", "road"), ("b.pdf", "broken")):
+        (tmp_path / "STATE/WA/wsdot" / name).write_text(content)
+    engine = Engine(spark, str(tmp_path / "engine"))
+    blocks_found = engine.blocks_of(readers.parsed_pages(spark, str(tmp_path), read))
+    assert {(r.page, r.kind) for r in blocks_found.collect()} == {(p, k) for p in (1, 2) for k in ("heading", "body", "footer")}
+    engine.ingest(blocks_found, cli.files_under(spark, str(tmp_path)))
+    got = engine.chunks().collect()
+    assert {(r.source_file, r.section, r.agency) for r in got} == {("a.pdf", "5.2", "WSDOT")} and len(got) == 6
+    assert engine.lookup(got[0].id).count() == 1
+    engine.remove(F.col("page") == 2)
+    assert {r.page for r in engine.chunks().collect()} == {1}
+
+
+def test_recognition_falls_back(spark):
+    pages = spark.createDataFrame([(1, b"x"), (2, b"y"), (3, None), (4, b"z")], "page int, image binary")
+    call = lambda image, mode: "long enough a text " * 5 if image == b"x" else 1 / 0 if image == b"z" else mode
+    assert {r.page: r.text and r.text[:5] for r in models.recognised(pages, call).collect()} == {1: "long ", 2: "block", 3: None, 4: None}
