@@ -4,7 +4,10 @@ weighted Jaccard similarity.
 A shingle's weight in a text is the number of times it stands there times its idf, ln(1 + 1/share) for the
 share of texts that hold it. Shingles in fewer than one text of ``1 / RARE`` count as that rare, so the weights
 mean the same in a collection of any size, and the table of the more frequent ones, which is all that is sent
-to the workers, is bounded by the mean number of shingles in a text divided by ``RARE / 2``.
+to the workers, is bounded by the mean number of shingles in a text divided by ``RARE / 2``. Shingles in more than
+the share ``COMMON`` count as that common: else the edits of a text that a third of all rows hold would outweigh
+what they share. So texts whose sets of shingles have a Jaccard of a half have a weighted one of 0.3997 at least,
+but for shingles that one of them holds more often than the other.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from stratadoc.session import cut
 
 SHINGLE, THRESHOLD = 3, 0.5
 #: Weighted Jaccard from which on pairs are looked at where an exact set Jaccard of ``THRESHOLD`` is asked for.
-LOOSE = 0.4
+LOOSE = 0.39
 #: Bands of ``ROWS`` samples each; every sample stands in two bands, so there are twice as many.
 BANDS, ROWS = 40, 3
-#: Share of texts below which all shingles count as equally rare.
-RARE = 1 / 1024
+#: Share of texts below which all shingles count as equally rare, and above which as equally common.
+RARE, COMMON = 1 / 1024, 1 / 100
 PARAM_BITS = 16
 SLICE, COUNTED = 1 << 21, 1 << 24
 SKETCH = ("s1", "s2", "s3", "s4")
@@ -41,11 +44,11 @@ class Shares(NamedTuple):
     share: np.ndarray
 
     def idf(self, h: np.ndarray) -> np.ndarray:
-        """ln(1 + 1/share) of each shingle."""
+        """ln(1 + 1/share) of each shingle, between those of ``COMMON`` and ``RARE``."""
         share = np.full(len(h), RARE)
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-            share = np.where(self.hash[at] == h, np.maximum(self.share[at], RARE), RARE)
+            share = np.where(self.hash[at] == h, np.clip(self.share[at], RARE, COMMON), RARE)
         return np.log1p(1 / share)
 
 

@@ -36,7 +36,7 @@ def test_near_duplicates_against_all_pairs(spark):
                 edited[i] = f"edit{random.randint(0, 9999)}"
             rows.append((f"b{g}_{e}", " ".join(edited).upper() + " ."))
     rows += [("a0", rows[0][1]), ("null", None), ("empty", ""), ("two", "only two"), (None, "a b c d e"), ("s1", "one two three"), ("s2", "One, two THREE!")]
-    found = neardup.NearDuplicates(chunk_rows(spark, rows), threshold=0.4, exact=0.5)
+    found = neardup.NearDuplicates(chunk_rows(spark, rows), threshold=neardup.LOOSE, exact=0.5)
     got = {(r.id_a, r.id_b): r.jaccard for r in found.pairs().collect()}
     sets = {}
     for k, t in rows:
@@ -53,38 +53,37 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_edits_of_a_hot_text_are_found(spark):
-    core = words(90, 3)
-    rows = [(f"h{i:03}", " ".join([*core, *(f"tail{i}x{j}" for j in range(14))])) for i in range(150)]
+    core = words(60, 3)
+    rows = [(f"h{i:03}", " ".join([*core, *(f"tail{i}x{j}" for j in range(29))])) for i in range(150)]
     rows += [(f"o{i:03}", " ".join(f"other{i}x{j}" for j in range(80))) for i in range(300)]
-    found = {(r.id_a, r.id_b): r.weighted_jaccard for r in neardup.NearDuplicates(chunk_rows(spark, rows), threshold=0.4, exact=0.5).pairs().collect()}
-    assert all(a[0] == b[0] == "h" and 0.4 <= w < 0.5 for (a, b), w in found.items())
+    found = {(r.id_a, r.id_b): r.jaccard for r in neardup.NearDuplicates(chunk_rows(spark, rows), threshold=neardup.LOOSE, exact=0.5).pairs().collect()}
+    assert all(a[0] == b[0] == "h" and abs(j - 0.5) < 1e-9 for (a, b), j in found.items())
     assert len(found) >= 0.98 * 150 * 149 / 2
 
 
 def weighted_jaccard(texts, pair):
-    """By its definition: counts times ln(1 + rows / rows that hold the shingle)."""
+    """By its definition: counts times ln(1 + 1 / share of texts), shares between 1/1024 and 1/100."""
     split = [t.split() for t in texts]
     counts = [Counter(zip(w, w[1:], w[2:])) for w in split]
     held = Counter(s for c in counts for s in c)
     a, b = (counts[i] for i in pair)
-    weight = {s: np.log1p(len(texts) / held[s]) for s in {*a, *b}}
+    weight = {s: np.log1p(1 / min(max(held[s] / len(texts), 1 / 1024), 1 / 100)) for s in {*a, *b}}
     return sum(weight[s] * min(a[s], b[s]) for s in weight) / sum(weight[s] * max(a[s], b[s]) for s in weight)
 
 
 def test_the_weighted_similarity_decides(spark):
-    common = words(40, 11)  # half of all texts begin with this, so it weighs little
-    rows = [(f"c{i:02}", " ".join(common + words(30, 200 + i))) for i in range(20)] + [(f"o{i:02}", " ".join(words(70, 300 + i))) for i in range(18)]
+    common = words(42, 11)  # one text of twenty begins with this, so it weighs less than what is in one text only
+    rows = [(f"c{i:02}", " ".join(common + words(30, 200 + i))) for i in range(20)] + [(f"o{i:03}", " ".join(words(70, 300 + i))) for i in range(376)]
     base = words(60, 12)
     rows += [("x", " ".join(base + words(20, 13))), ("y", " ".join(base + words(20, 14))), ("z", " ".join(words(20, 15) * 3 + ["end"])), ("zz", " ".join(words(20, 15) * 2))]
-    both = {(r.id_a, r.id_b): r for r in neardup.NearDuplicates(chunk_rows(spark, rows), threshold=0.3).pairs().collect()}
-    strict = {(r.id_a, r.id_b) for r in neardup.NearDuplicates(chunk_rows(spark, rows), threshold=0.5).pairs().collect()}
+    got = {t: {(r.id_a, r.id_b): r for r in neardup.NearDuplicates(chunk_rows(spark, rows), threshold=t).pairs().collect()} for t in (0.3, 0.37, 0.5)}
     place = {k: i for i, (k, _) in enumerate(rows)}
-    for (a, b), r in both.items():
+    for (a, b), r in got[0.3].items():
         assert abs(r.weighted_jaccard - weighted_jaccard([t for _, t in rows], (place[a], place[b]))) < 1e-9
-    assert ("x", "y") in strict and strict == {k for k, r in both.items() if r.weighted_jaccard >= 0.5}
-    sets = neardup.NearDuplicates(chunk_rows(spark, rows), threshold=0.01, exact=0.35).pairs().collect()
-    assert any(r.jaccard >= 0.35 > r.weighted_jaccard for r in sets if r.id_a[0] == "c")  # alike as sets, not by weight
-    assert both["z", "zz"].jaccard > 0.9 > 0.7 > both["z", "zz"].weighted_jaccard  # how often a shingle stands there counts
+    alike = [r for r in got[0.3].values() if r.id_a[0] == r.id_b[0] == "c"]
+    assert len(alike) > 150 and all(r.jaccard > 0.37 > r.weighted_jaccard for r in alike)  # alike as sets, not by weight
+    assert not any(a[0] == "c" for a, _ in got[0.37]) and ("x", "y") in got[0.5] and set(got[0.5]) <= set(got[0.37])
+    assert got[0.5]["z", "zz"].jaccard > 0.9 > 0.7 > got[0.5]["z", "zz"].weighted_jaccard  # how often a shingle stands there counts
 
 
 def test_near_duplicates_of_nothing(spark):
