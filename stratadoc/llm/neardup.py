@@ -12,9 +12,11 @@ but for shingles that one of them holds more often than the other.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,13 +30,21 @@ from stratadoc.session import cut
 SHINGLE, THRESHOLD = 3, 0.5
 #: Weighted Jaccard from which on pairs are looked at where an exact set Jaccard of ``THRESHOLD`` is asked for.
 LOOSE = 0.39
-#: Bands of ``ROWS`` samples each; every sample stands in two bands, so there are twice as many.
-BANDS, ROWS = 40, 3
+#: Columns of the grid of samples that bands are lines of, and its rows, the samples of a band, for up to ``SETS`` texts.
+BANDS, ROWS, SETS = 40, 3, 1 << 20
+#: For so many times more texts a band has a sample more, as unlike texts share one of some thirty samples.
+STEP = 32
+#: Slopes of the lines by the samples of a band: as many as miss 1 % of pairs at a weighted Jaccard of 0.4 (simulated).
+SLOPES = {3: 2, 4: 6, 5: 17}
+#: Band keys of a text that are joined at once; half as many where there are more, since then the keys themselves take room.
+AT_ONCE = 80
 #: Share of texts below which all shingles count as equally rare, and above which as equally common.
 RARE, COMMON = 1 / 1024, 1 / 100
 PARAM_BITS = 16
 SLICE, COUNTED = 1 << 21, 1 << 24
-SKETCH = ("s1", "s2", "s3", "s4")
+#: A sketch has four bits of each of up to 128 samples, in two halves; bands carry two of the four.
+SKETCH = ("s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8")
+CARRIED = SKETCH[:4]
 
 
 class Shares(NamedTuple):
@@ -131,15 +141,28 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def band_rows(texts: int) -> int:
+    """Samples of a band for so many texts. Unlike texts that meet in a band grow with the square of the texts;
+    a longer band keeps what each text meets within bounds."""
+    return min(max(SLOPES), ROWS + max(0, math.ceil(math.log(max(texts, 1) / SETS, STEP))))
+
+
+def lines(columns: int, rows: int) -> np.ndarray:
+    """The samples of each band, ``SLOPES[rows] * columns`` bands: lines through a grid of samples, each sample on
+    one line of a slope; two lines share at most one sample (where ``SLOPES[rows] * rows <= columns``)."""
+    return np.array([[j * columns + (c + slope * j) % columns for j in range(rows)] for slope in range(SLOPES[rows]) for c in range(columns)])
+
+
 def sketch_rows(df: DataFrame, key: str, text: str, shares: Shares, n: int, bands: int, rows: int) -> DataFrame:
-    """``(id, k1, k2, s1..s4, bands)``: for each text with shingles the 128-bit key of its shingle set, a
-    sketch of two bits of each of its samples and its band keys, ``2 * bands``: of samples next to one
-    another, and of samples ``bands`` apart. Two bands share at most one sample. ``k1`` also numbers the set."""
+    """``(id, k1, k2, s1..s8, bands)``: for each text with shingles the 128-bit key of its shingle set, a
+    sketch of four bits of each of its first 128 samples and its band keys, one for each of ``lines``.
+    ``k1`` also numbers the set."""
     sent = df.sparkSession.sparkContext.broadcast(shares)
+    sketched, places = sketched_samples(bands, rows), lines(bands, rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = U64(1) << (np.arange(bands * rows, dtype=U64) % U64(64))
-        half = bands * rows // 2
+        bit = U64(1) << (np.arange(sketched, dtype=U64) % U64(64))
+        half = sketched // 2
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices(texts, SLICE):
@@ -149,16 +172,16 @@ def sketch_rows(df: DataFrame, key: str, text: str, shares: Shares, n: int, band
                 sign, which = signatures(h, doc, times, sent.value, bands * rows)
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 k1, k2 = mix(np.add.reduceat(h, first)), mix(np.add.reduceat(mix(h ^ MIX_A), first))
-                ones = [((sign >> U64(place)) & U64(1)) * bit for place in (0, 1)]
+                ones = [((sign[:, :sketched] >> U64(place)) & U64(1)) * bit for place in range(len(SKETCH) // 2)]
                 sketch = [x[:, part].sum(axis=1, dtype=U64) for x in ones for part in (slice(half), slice(half, None))]
-                band = np.zeros((len(which), 2 * bands), dtype=U64)
+                band = np.zeros((len(which), len(places)), dtype=U64)
                 for r in range(rows):
-                    band = band * MIX_A + np.hstack([sign[:, r::rows], sign[:, r * bands : (r + 1) * bands]])
-                band = mix(band + np.arange(2 * bands, dtype=U64))
+                    band = band * MIX_A + sign[:, places[:, r]]
+                band = mix(band + np.arange(len(places), dtype=U64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(which + lo)), *map(_signed, (k1, k2, *sketch)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * 2 * bands), _signed(band.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * len(places)), _signed(band.ravel())),
                     ],
                     names=["id", "k1", "k2", *SKETCH, "bands"],
                 )
@@ -167,15 +190,31 @@ def sketch_rows(df: DataFrame, key: str, text: str, shares: Shares, n: int, band
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, {' bigint, '.join(SKETCH)} bigint, bands array<bigint>")
 
 
-def _differ(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+def _release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of frames that are no longer used; else they stay until the driver happens
+    to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
 
+def sketched_samples(bands: int, rows: int) -> int:
+    """How many of the samples a sketch holds."""
+    return min(128, bands * rows)
 
-def most_differing(hashes: int, similarity: float, deviations: float = 3.0) -> int:
-    """Bits in which two sketches of pairs of this weighted Jaccard differ at most, but for so many
-    standard deviations: a sample that is not shared differs in 0, 1 or 2 of its bits."""
-    apart = 1 - similarity
-    return math.ceil(hashes * apart + deviations * math.sqrt(hashes * apart * (0.5 + similarity)))
+
+def _differ(a: str, b: str, sketch: tuple[str, ...]) -> Column:
+    """In how many samples two sketches differ, by those of their bits that ``sketch`` names."""
+    other = [[F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")) for s in sketch[half::2]] for half in (0, 1)]
+    return sum((F.bit_count(reduce(Column.bitwiseOR, x)) for x in other), F.lit(0))
+
+
+def most_differing(samples: int, similarity: float, bits: int, deviations: float) -> int:
+    """Samples in which two sketches of pairs of this weighted Jaccard differ at most, but for so many standard
+    deviations: a sample that is not shared has the same ``bits`` bits once in 2 ** ``bits``."""
+    apart = (1 - similarity) * (1 - 0.5**bits)
+    return math.ceil(samples * apart + deviations * math.sqrt(samples * apart * (1 - apart)))
 
 
 def verified(pairs: DataFrame, shares: Shares, n: int, threshold: float, exact: float | None = None) -> DataFrame:
@@ -220,29 +259,46 @@ class NearDuplicates:
     empty results. Texts of one shingle set are one member, the one of the smallest id stands for it.
 
     Candidates come from a self-join on band keys; a pair is passed on only where the two sketches differ
-    in at most as many bits as those of pairs at ``threshold`` do (``most_differing``), so that
-    a band key many unlike texts share sends next to nothing. Equal sets are joined as one, so copies never
-    meet in a band; a band that many different texts share is split by the skew join of the adaptive plan.
+    in at most as many samples as those of pairs at ``threshold`` do (``most_differing``), by two bits a sample in
+    the join and by all four after it, so that a band key many unlike texts share sends next to nothing and texts
+    are fetched and compared for hardly any but true pairs. Bands get longer with the number of rows (``band_rows``,
+    unless ``rows`` is given) and more, so unlike texts do not come to meet in most of them; they are joined in
+    portions. Equal sets are joined as one, so copies never meet in a band; a band that many different texts share
+    is split by the skew join of the adaptive plan.
     """
 
-    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, exact: float | None = None, bands: int = BANDS, rows: int = ROWS):
-        if not 0 < threshold <= 1 or bands * rows > 128:
-            raise ValueError("threshold must be in (0, 1], bands * rows at most 128")
+    def __init__(self, df: DataFrame, key: str = "id", text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, exact: float | None = None, bands: int = BANDS, rows: int | None = None):
+        if not 0 < threshold <= 1 or rows not in (None, *SLOPES):
+            raise ValueError(f"threshold must be in (0, 1], rows one of {tuple(SLOPES)}")
         df = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
         self.shares = document_shares(df, text, n)
+        rows = rows or band_rows(df.count())
         sketched = cut(sketch_rows(df, key, text, self.shares, n, bands, rows))
         self.members = sketched.select("id", "k1").distinct()
-        sets = sketched.groupBy("k1").agg(F.min_by(F.struct("id", *SKETCH, "bands"), "id").alias("x")).select("k1", "x.*")
+        sets = sketched.groupBy("k1").agg(F.min_by(F.struct("id", *SKETCH), "id").alias("x")).select("k1", "x.*")
         self.sets = sets
-        banded = sets.select("k1", *SKETCH, F.explode("bands").alias("band"))
-        most = most_differing(bands * rows, threshold)
-        a, b = banded.alias("a"), banded.alias("b")
-        pairs = (
-            a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k1") < F.col("b.k1")) & (_differ("a", "b") <= most))
-            .select(F.col("a.k1").alias("ka"), F.col("b.k1").alias("kb"))
-            .distinct()
-        )
-        pairs = cut(pairs)
+        samples, total = sketched_samples(bands, rows), len(lines(bands, rows))
+        found, portion = [], AT_ONCE if total <= AT_ONCE else AT_ONCE // 2
+        for lo in range(0, total, portion):
+            if found:
+                _release(df)
+            part = sketched.select("k1", "id", *CARRIED, F.slice("bands", lo + 1, portion).alias("bands"))
+            part = part.groupBy("k1").agg(F.min_by(F.struct(*CARRIED, "bands"), "id").alias("x")).select("k1", "x.*")
+            banded = part.select("k1", *CARRIED, F.explode("bands").alias("band"))
+            a, b = banded.alias("a"), banded.alias("b")
+            near = _differ("a", "b", CARRIED) <= most_differing(samples, threshold, 2, 3.0)
+            found.append(
+                cut(
+                    a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.k1") < F.col("b.k1")) & near)
+                    .select(F.col("a.k1").alias("ka"), F.col("b.k1").alias("kb"))
+                    .distinct()
+                )
+            )
+        met = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
+        near = _differ("a", "b", SKETCH) <= most_differing(samples, threshold, len(SKETCH) // 2, 4.0)
+        whole = sets.select("k1", *SKETCH)
+        pairs = met.join(whole.alias("a"), F.col("ka") == F.col("a.k1")).join(whole.alias("b"), F.col("kb") == F.col("b.k1"))
+        pairs = cut(pairs.filter(near).select("ka", "kb"))
         wanted = pairs.select(F.explode(F.array("ka", "kb")).alias("k1")).distinct().join(sets.select("k1", "id"), "k1")
         texts = (
             df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").groupBy("k1").agg(F.min("text").alias("text"))

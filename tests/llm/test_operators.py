@@ -86,6 +86,34 @@ def test_the_weighted_similarity_decides(spark):
     assert got[0.5]["z", "zz"].jaccard > 0.9 > 0.7 > got[0.5]["z", "zz"].weighted_jaccard  # how often a shingle stands there counts
 
 
+def test_unlike_texts_are_not_compared(spark, monkeypatch):
+    pick = random.Random(21)
+    phrases = [" ".join(words(5, 1000 + i)) for i in range(120)]
+    rows = [(f"u{i:04}", " ".join(pick.choices(phrases, k=20))) for i in range(1500)]
+    rows += [(f"{k}x", t + " one more line") for k, t in rows[:20]]
+    compared, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    for sets in (1 << 20, 1000):  # bands of three samples and of four
+        monkeypatch.setattr(neardup, "SETS", sets, raising=False)
+        found = {(r.id_a, r.id_b) for r in neardup.NearDuplicates(chunk_rows(spark, rows), threshold=neardup.LOOSE, exact=0.5).pairs().collect()}
+        assert found == {(f"u{i:04}", f"u{i:04}x") for i in range(20)}
+    assert compared[0] <= 200 and compared[1] <= 40, compared
+
+
+def test_longer_bands_for_more_texts(spark):
+    assert [neardup.band_rows(n) for n in (0, 1, 1 << 20, 4_000_000, 1 << 25, 1 << 26)] == [3, 3, 3, 4, 4, 5]
+    for rows in (3, 4):
+        bands = [set(x) for x in neardup.lines(neardup.BANDS, rows).tolist()]
+        assert all(len(x) == rows for x in bands) and all(len(x & y) < 2 for i, x in enumerate(bands) for y in bands[:i])
+    rows = []
+    for g in range(30):
+        base = words(100, 400 + g)
+        rows += [(f"l{g:02}", " ".join(base)), (f"m{g:02}", " ".join(base[:78] + words(22, 500 + g)))]
+    for n in neardup.SLOPES:
+        found = neardup.NearDuplicates(chunk_rows(spark, rows), threshold=neardup.LOOSE, exact=0.5, rows=n).pairs().collect()
+        assert len({(r.id_a, r.id_b) for r in found} & {(f"l{g:02}", f"m{g:02}") for g in range(30)}) >= 29
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.NearDuplicates(chunk_rows(spark, []))
     assert found.pairs().count() == 0 and found.groups().count() == 0
