@@ -6,7 +6,8 @@ closest ones by footrule distance between the two orders are ranked again by the
 
 The pivots of the upper level, a sample of all vectors, only decide where to look: neighbouring pivots
 form groups, a vector lives in the group of its nearest pivot and is shipped as a query to the next
-groups in its order. Where the rows are more than the upper pivots can divide, each group is halved as often
+groups in its order, to more of them the more groups there are. A pair found from one side counts for both, so it is
+missed only if neither visits the other. Where the rows are more than the upper pivots can divide, each group is halved as often
 as needed by planes through its middle, and a query goes to the nearest other sides as well. Each group
 has pivots and inverted files of its own, one pivot for every few of its vectors, so the index is as fine in a
 large collection as in a small one. Pivots are sampled, so dense regions hold more of them, and groups and
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratadoc.llm.wordscan import MIX_A, U64, mix
-from stratadoc.session import cut
+from stratadoc.session import cut, release
 
 NEAREST = 5
 #: Upper pivots are PIVOTS_ROOT times the square root of the rows, at most MOST_PIVOTS (a broadcast of 32 MB at 1,024 dimensions).
 PIVOTS_ROOT, MOST_PIVOTS = 6, 8192
-#: How many of its nearest upper pivots a vector follows, to how many groups at most.
-FOLLOWED, VISITS = 8, 3
+#: How many of its nearest upper pivots a vector follows, to how many groups at most, for up to FEW_GROUPS groups.
+FOLLOWED, VISITS, FEW_GROUPS = 8, 3, 32
+#: For twice as many groups a vector visits one more, and follows so many more pivots for it.
+MORE_FOLLOWED = 5
 GROUP_ROWS = 4000
 #: Planes whose other side a query visits too in its own group, the nearest ones.
 OTHER_SIDES = 2
@@ -99,6 +102,12 @@ def halves(groups: int, rows: int, group_rows: int) -> int:
     return max(0, math.ceil(math.log2(max(1.0, rows / (groups * group_rows)))) if rows > 2 * groups * group_rows else 0)
 
 
+def reach(groups: int) -> tuple[int, int]:
+    """How many upper pivots a vector follows among so many groups, and how many groups it visits."""
+    more = max(0, math.ceil(math.log2(max(groups, 1) / FEW_GROUPS)))
+    return FOLLOWED + MORE_FOLLOWED * more, VISITS + more
+
+
 def sides(x: np.ndarray, group: np.ndarray, middles: np.ndarray, planes: int) -> tuple[np.ndarray, np.ndarray]:
     """The part of its group each vector is in, a bit for each of ``planes`` random planes through the group's middle,
     and its distance from them."""
@@ -207,12 +216,14 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
     if not len(pivots):
         pivots = np.eye(1, dim, dtype=np.float32)
     pivots = pivots[: 2 * most_pivots]
-    followed = min(FOLLOWED, len(pivots))
     groups = max(1, min(len(pivots), rows // group_rows))
     group_of = pivot_groups(pivots, groups)
     groups = int(group_of.max()) + 1
     middles = np.stack([pivots[group_of == g].mean(axis=0) for g in range(groups)])
     planes = halves(groups, rows, group_rows)
+    followed, visited = reach(groups)
+    followed = min(followed, len(pivots))
+    rounds = 1 if visited <= VISITS else math.ceil((visited + min(planes, OTHER_SIDES)) / 2)
     sent = spark.sparkContext.broadcast((pivots, group_of, middles))
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,23 +246,16 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
                 at = fresh[lo : lo + 512]
                 x = _unit(every[at])
                 packed, number = _pack(every[at]), classes[at]
-                visits = [list(dict.fromkeys(v))[:VISITS] for v in group_of[orders(x, pivots, followed)].tolist()]
-                row = np.repeat(np.arange(len(at)), [len(v) for v in visits])
-                group, home = np.array([g for v in visits for g in v], dtype=np.int64), np.array([j == 0 for v in visits for j in range(len(v))])
-                if planes:
+                visits = [list(dict.fromkeys(v))[:visited] for v in group_of[orders(x, pivots, followed)].tolist()]
+                if planes:  # the group of each visit is the part of it the vector is in, and that of its own the nearest other sides too
+                    row = np.repeat(np.arange(len(at)), [len(v) for v in visits])
+                    group, home = np.array([g for v in visits for g in v], dtype=np.int64), np.array([j == 0 for v in visits for j in range(len(v))])
                     part, apart = sides(x[row], group, middles, planes)
                     near = np.argsort(apart[home], axis=1)[:, :OTHER_SIDES]
-                    others = part[home][:, None] ^ (1 << near)
-                    row = np.concatenate([row, np.repeat(row[home], near.shape[1])])
-                    group = np.concatenate([(group << planes) + part, ((group[home] << planes)[:, None] + others).ravel()])
-                    home = np.concatenate([home, np.zeros(others.size, dtype=bool)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(group), pa.array(home),
-                        pa.array(number[row]), pa.array([packed[i] for i in row], pa.binary()),
-                    ],
-                    names=["group", "home", "class", "packed"],
-                )
+                    others = (group[home] << planes)[:, None] + (part[home][:, None] ^ (1 << near))
+                    inside = np.split((group << planes) + part, np.flatnonzero(home)[1:])
+                    visits = [[*a.tolist(), *b.tolist()] for a, b in zip(inside, others)]
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(packed, pa.binary()), pa.array(visits, pa.list_(pa.int64()))], names=["class", "packed", "groups"])
 
     def search(table: pa.Table) -> pa.Table:
         number = table.column("class").to_numpy()
@@ -273,10 +277,23 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "vector", k: int
         return pa.table({"query": pa.array(number[a]), "class": pa.array(number[live][b]), "cosine": pa.array(near)})
 
     members = cut(df.mapInArrow(number, f"id {kind}, class bigint").distinct())
-    shipped = df.select("vector").mapInArrow(ship, "group bigint, home boolean, class bigint, packed binary")
-    near = shipped.groupBy("group").applyInArrow(search, "query bigint, class bigint, cosine double")
+    shipped = df.select("vector").mapInArrow(ship, "class bigint, packed binary, groups array<bigint>")
     best = Window.partitionBy("query").orderBy(F.round("cosine", 9).desc())
-    near = near.withColumn("n", F.rank().over(best)).filter(F.col("n") <= k).drop("n")
+    if rounds > 1:
+        shipped = cut(shipped)
+    near = None
+    for r in range(rounds):  # a round takes a part of the groups, so what is shuffled at a time does not grow with the visits
+        if r:
+            release(df)
+        copies = shipped.select("class", "packed", F.posexplode("groups").alias("place", "group")).withColumn("home", F.col("place") == 0)
+        copies = copies.filter(F.pmod("group", F.lit(rounds)) == r).select("group", "home", "class", "packed")
+        found = copies.groupBy("group").applyInArrow(search, "query bigint, class bigint, cosine double")
+        ends = (F.struct(F.col(a).alias("query"), F.col(b).alias("class"), "cosine") for a, b in (("query", "class"), ("class", "query")))
+        found = found.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+        found = (found if near is None else near.unionByName(found)).repartition("query").dropDuplicates(["query", "class"])
+        near = found.withColumn("n", F.rank().over(best)).filter(F.col("n") <= k).drop("n")
+        if rounds > 1:
+            near = cut(near)
     by_id = Window.partitionBy("class").orderBy("id")
     first_ids = members.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).drop("n").withColumnRenamed("id", "neighbour")
     own = first_ids.select(F.col("class").alias("query"), F.lit(1.0).alias("cosine"), "neighbour")

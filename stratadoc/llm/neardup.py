@@ -12,9 +12,7 @@ but for shingles that one of them holds more often than the other.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from typing import NamedTuple
@@ -25,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratadoc.llm.wordscan import MIX_A, U64, Words, mix, runs, slices
-from stratadoc.session import cut
+from stratadoc.session import cut, release
 
 SHINGLE, THRESHOLD = 3, 0.5
 #: Weighted Jaccard from which on pairs are looked at where an exact set Jaccard of ``THRESHOLD`` is asked for.
@@ -190,15 +188,6 @@ def sketch_rows(df: DataFrame, key: str, text: str, shares: Shares, n: int, band
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, {' bigint, '.join(SKETCH)} bigint, bands array<bigint>")
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of frames that are no longer used; else they stay until the driver happens
-    to collect its garbage."""
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def sketched_samples(bands: int, rows: int) -> int:
     """How many of the samples a sketch holds."""
     return min(128, bands * rows)
@@ -281,7 +270,7 @@ class NearDuplicates:
         found, portion = [], AT_ONCE if total <= AT_ONCE else AT_ONCE // 2
         for lo in range(0, total, portion):
             if found:
-                _release(df)
+                release(df)
             part = sketched.select("k1", "id", *CARRIED, F.slice("bands", lo + 1, portion).alias("bands"))
             part = part.groupBy("k1").agg(F.min_by(F.struct(*CARRIED, "bands"), "id").alias("x")).select("k1", "x.*")
             banded = part.select("k1", *CARRIED, F.explode("bands").alias("band"))

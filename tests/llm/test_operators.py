@@ -156,6 +156,16 @@ def test_recall_of_the_index(spark):
     assert len(got) == len(exact) == 15_000 and len(got & exact) >= 0.9 * len(exact)
 
 
+def test_recall_among_many_groups(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(700, 96))
+    rows = [(f"v{i:04}", (centres[i % 700] + 0.5 * rng.normal(size=96)).astype(np.float32).tolist()) for i in range(4900)]
+    assert knn_perm.reach(20) == (8, 3) and knn_perm.reach(1000) == (33, 8)
+    got = {(r.id, r.neighbour) for r in knn_perm.most_similar(vectors(spark, rows), group_rows=25).collect()}
+    exact = exact_neighbours(rows)
+    assert len(got & exact) >= 0.88 * len(exact)
+
+
 def test_groups_are_halved_where_pivots_are_few(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 24))
