@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from stratadoc import config, schema
+from stratadoc import config, schema, session
 from stratadoc.operators import catalogue_views, cells, context, evaluation, search, upkeep, usage
 from stratadoc.sources import readers
 from pyspark.sql import functions as F
@@ -179,6 +179,29 @@ def test_full_text_within_facets(spark):
     assert sorted((r.query_id, r.id) for r in got) == [(1, "b"), (2, "a"), (2, "b")]
 
 
+def test_full_text_of_texts_is_that_of_their_index(spark):
+    """No postings are written; the scores, ties and facets are those by the index, in one block of queries or several."""
+    rng = np.random.default_rng(4)
+    rows = [(f"t{i:03}", " ".join(f"W{min(int(w), 40)}" for w in rng.zipf(1.4, rng.integers(0, 9))), ("EPA", "OSHA", None)[i % 3]) for i in range(400)] + [("null", None, "EPA")]
+    texts = spark.createDataFrame(rows, "id string, text string, agency string").repartition(3)
+    asked = spark.createDataFrame([(i, f"w{1 + i % 9} w{1 + i % 4}, W{20 + i} none", ("", "EPA")[i % 2]) for i in range(25)] + [(90, "none", ""), (91, None, "")], "query_id int, query string, filter_agency string")
+    exact = sorted(map(tuple, search.bm25(search.postings(texts, "id", "text", ("agency",)), asked, "id", 7, facets=("agency",)).collect()))
+    for block in (4096, 10):
+        found = search.bm25_texts(texts, asked, "id", 7, facets=("agency",), block=block)
+        got = sorted(map(tuple, found.collect()))
+        assert len(got) == 175 and got == exact
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_rows_are_the_rows_in_less_room(spark):
+    rows = [(i, None if i % 7 == 0 else [float(i % 3 == 0)] * 200, "pipe and wall " * 20) for i in range(2500)]
+    df = spark.createDataFrame(rows, "id int, vector array<float>, text string")
+    packed = session.Packed(df, 900)
+    assert sorted(map(tuple, packed.rows().collect())) == rows
+    assert packed.rows("text", "id").columns == ["id", "text"] and packed.rows("id").agg(F.sum("id")).first()[0] == 2500 * 2499 // 2
+    assert packed.batches.agg(F.sum(F.length("batch"))).first()[0] < 2500 * 100
+
+
 def test_quota_of_a_client_with_most_events(spark):
     rows = [(i, "hot" if i % 3 else f"c{i % 7}", f"2025-01-0{1 + i % 2} 10:00:{i % 60:02}") for i in range(900)] + [(901, None, None), (902, "hot", None)]
     df = spark.createDataFrame(rows, "event_id int, client string, ts string").withColumn("ts", F.to_timestamp("ts"))
