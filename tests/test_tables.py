@@ -172,6 +172,22 @@ def test_blocks_of_queries_give_the_same(spark):
     assert one == many and len(one) == 225 and all(v % 2 == 0 for q, v, *_ in one if q % 8 == 0)
 
 
+def test_rows_are_not_dealt_out_for_each_block_of_queries(spark, monkeypatch):
+    """More queries than a block: every step of rows and products keeps the exact neighbours, and rows are read where they are."""
+    monkeypatch.setattr(search, "STEP_NUMBERS", 600)
+    monkeypatch.setattr(search, "STEP_PRODUCTS", 500)
+    monkeypatch.setattr(search, "MANY_QUERIES", 5)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(20, 6)), 10, axis=0) * 1e-3, np.zeros((5, 6))]).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<float>").repartition(3)
+    found = search.nearest_to_each(df, df, 4, block=200)
+    apart = ((x[:, None].astype(float) - x) ** 2).sum(2)
+    np.fill_diagonal(apart, np.inf)
+    want = {(f"v{q:03}", f"v{v:03}", r + 1) for q in range(len(x)) for r, v in enumerate(np.lexsort((np.arange(len(x)), apart[q]))[:4])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == want
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+
+
 def test_full_text_within_facets(spark):
     texts = spark.createDataFrame([("a", "wall wall pipe", "EPA"), ("b", "wall", "OSHA"), ("c", "pipe", "OSHA")], "id string, text string, agency string")
     asked = spark.createDataFrame([(1, "wall", "OSHA"), (2, "wall", "")], "query_id int, query string, filter_agency string")
@@ -200,6 +216,8 @@ def test_packed_rows_are_the_rows_in_less_room(spark):
     assert sorted(map(tuple, packed.rows().collect())) == rows
     assert packed.rows("text", "id").columns == ["id", "text"] and packed.rows("id").agg(F.sum("id")).first()[0] == 2500 * 2499 // 2
     assert packed.batches.agg(F.sum(F.length("batch"))).first()[0] < 2500 * 100
+    more = df.union(spark.createDataFrame([(2500, [], None)], df.schema))
+    assert sorted(session.Packed(session.squeezed(more, "vector"), 900, "vector").rows().collect()) == sorted(more.collect())
 
 
 def test_quota_of_a_client_with_most_events(spark):
