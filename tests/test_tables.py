@@ -214,7 +214,7 @@ def test_packed_rows_are_the_rows_in_less_room(spark):
     df = spark.createDataFrame(rows, "id int, vector array<float>, text string")
     packed = session.Packed(df, 900)
     assert sorted(map(tuple, packed.rows().collect())) == rows
-    assert packed.rows("text", "id").columns == ["id", "text"] and packed.rows("id").agg(F.sum("id")).first()[0] == 2500 * 2499 // 2
+    assert packed.rows("text", "id").columns == ["text", "id"] and packed.rows("id").agg(F.sum("id")).first()[0] == 2500 * 2499 // 2
     assert packed.batches.agg(F.sum(F.length("batch"))).first()[0] < 2500 * 100
     more = df.union(spark.createDataFrame([(2500, [], None)], df.schema))
     assert sorted(session.Packed(session.squeezed(more, "vector"), 900, "vector").rows().collect()) == sorted(more.collect())
